@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
+import regex
 
 
 class WordIds(dict):
@@ -15,7 +18,7 @@ class WordIds(dict):
     dropped when it outgrows ``max_words`` or ``max_bytes`` and refills.
     """
 
-    def __init__(self, encode_words, max_words: int = 400_000, max_bytes: int = 64 << 20):
+    def __init__(self, encode_words, max_words: int = 700_000, max_bytes: int = 64 << 20):
         super().__init__()
         self.encode_words, self.max_words, self.max_bytes = encode_words, max_words, max_bytes
         self.reset()
@@ -64,23 +67,70 @@ class WordIds(dict):
         return self.flat[np.repeat(begin - stop + lens, lens) + np.arange(int(stop[-1]))]
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte -> the printable character that stands for it in byte-level vocabularies.
+
+    Printable Latin-1 bytes stand for themselves; the others take the characters from U+0100 on, in order.
+    """
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+#: Words of these characters are the same in normal form C and need no context to be lower-cased.
+SIMPLE = re.compile("[\x21-\x7e\xc0-\u012f\u0131-\u024f]+")
+#: Fixed value: the pre-tokeniser's pattern in word_bpe_49k.json.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 _loaded: dict[str, WordIds] = {}
 
 
-def tokenizer_words(path: str) -> WordIds:
-    """The worker's cache for a ``tokenizers`` file whose pre-tokeniser drops white space."""
-    if path not in _loaded:
+class WordEncoder:
+    """Ids of single words by a ``tokenizers`` file of the lower-casing, byte-level kind.
+
+    Plain words are split here and their parts go to the merge model alone, each distinct part once;
+    words with anything unusual (marks, controls, special tokens) go through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, max_parts: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        spec = json.loads(self.tokenizer.to_str())
+        split = spec["pre_tokenizer"].get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        self.plain = split == WORD_PATTERN and kinds == ["NFC", "Replace", "Lowercase"]
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.letters = byte_letters()
+        self.parts: dict[str, list[int]] = {}
+        self.max_parts = max_parts
+        self.find = regex.compile(WORD_PATTERN).findall
+
+    def part(self, part: str) -> list[int]:
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) >= self.max_parts:
+                self.parts.clear()
+            coded = part.encode("utf-8").decode("latin-1").translate(self.letters)
+            ids = self.parts[part] = [t.id for t in self.model.tokenize(coded)]
+        return ids
+
+    def __call__(self, words: list[bytes]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for raw in words:
+            word = raw.decode("utf-8")
+            if self.plain and SIMPLE.fullmatch(word) and not any(s in word for s in self.special):
+                parts = self.find(word.lower())
+                out.append(self.part(parts[0]) if len(parts) == 1 else [x for p in parts for x in self.part(p)])
+            else:
+                out.append(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        return out
 
-        def encode(words: list[bytes]) -> list[list[int]]:
-            out: list[list[int]] = []
-            for i in range(0, len(words), 20_000):
-                some = [w.decode("utf-8") for w in words[i : i + 20_000]]
-                out += [e.ids for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            return out
 
-        _loaded[path] = WordIds(encode)
+def tokenizer_words(path: str) -> WordIds:
+    """The worker's cache for a ``tokenizers`` file whose pre-tokeniser drops white space."""
+    if path not in _loaded:
+        _loaded[path] = WordIds(WordEncoder(path))
     return _loaded[path]
