@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from chromafold.llm.packing import pack
+from chromafold.llm.simhash import near_duplicates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,5 +18,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op10_packing": op10_packing}
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
