@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from chromafold.llm.packing import pack
+from chromafold.llm.quality import verdicts
 from chromafold.llm.simhash import near_duplicates
 
 
@@ -23,5 +24,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op10_packing": op10_packing}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document."""
+    return verdicts(table(spark, sf_dir, "documents")).drop("text_hash", "removed")
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op6_quality": op6_quality, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
