@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chromafold.llm.packing import pack
 from chromafold.llm.quality import verdicts
 from chromafold.llm.simhash import near_duplicates
+from chromafold.llm.substring import remove_spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document when runs of 35 words that occur elsewhere are removed."""
+    return remove_spans(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -29,5 +35,5 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "documents")).drop("text_hash", "removed")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op6_quality": op6_quality, "op10_packing": op10_packing}
+QUERIES = {"op1_substring": op1_substring, "op2_simhash": op2_simhash, "op6_quality": op6_quality, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
