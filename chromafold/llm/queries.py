@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from chromafold.llm.packing import pack
+from chromafold.llm.pii import find_spans
 from chromafold.llm.quality import verdicts
 from chromafold.llm.simhash import near_duplicates
 from chromafold.llm.substring import remove_spans
@@ -35,5 +36,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "documents")).drop("text_hash", "removed")
 
 
-QUERIES = {"op1_substring": op1_substring, "op2_simhash": op2_simhash, "op6_quality": op6_quality, "op10_packing": op10_packing}
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and secrets in every document."""
+    return find_spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_substring": op1_substring, "op2_simhash": op2_simhash, "op6_quality": op6_quality, "op8_pii": op8_pii, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
