@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from chromafold.llm.arrowtext import slices, text_buffers
 from chromafold.llm.components import components
-from chromafold.llm.lineage import hold
+from chromafold.llm.lineage import hold, written
 
 BYTES = 8
 
@@ -214,14 +214,31 @@ def similar(fps: DataFrame, max_bits: int = 4, list_limit: int = 2048, target_li
     return links.unionAll(spread.mapInArrow(compare, "a long, b long, key long").select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row of ``docs``."""
-    signed = hold(fingerprints(docs, id_col, text_col, shingle))
+def classes(signed: DataFrame, max_bits: int = 4) -> DataFrame:
+    """(of, name) for every distinct fingerprint of ``signed``: the smallest doc_id of its class."""
+    parts = signed.sparkSession.sparkContext.defaultParallelism
     distinct = hold(signed.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(similar(distinct.select("fp"), max_bits))
     rooted = hold(distinct.join(roots, distinct.fp == roots.vertex, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.select("fp", "root").join(named, "root").select(F.col("fp").alias("of"), "component_id")
-    classes = classes.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # keeps the join's shuffle splittable
-    return signed.join(classes, signed.fp == classes.of).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.groupBy("root").agg(F.min("first").alias("name"))
+    return rooted.select("fp", "root").join(named, "root").select(F.col("fp").alias("of"), "name").repartition(parts)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row of ``docs``."""
+    signed = hold(fingerprints(docs, id_col, text_col, shingle))
+    named = classes(signed, max_bits)
+    return signed.join(named, signed.fp == named.of).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("name").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """The row of ``docs`` with the smallest id of each class, all columns unchanged.
+
+    Rows without an id never stand for a class that has one; of rows that share the id, one stays.
+    """
+    rows = written(docs.select("*", F.monotonically_increasing_id().alias("_row")))
+    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_row").alias("r"))
+    signed = hold(fingerprints(rows.withColumn("_at", key), "_at", text_col, shingle))
+    kept = classes(signed, max_bits).select(F.col("name.r").alias("_kept")).distinct()
+    return rows.join(kept, rows["_row"] == kept["_kept"], "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
