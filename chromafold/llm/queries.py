@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chromafold.llm.language import identify
 from chromafold.llm.packing import pack
 from chromafold.llm.pii import find_spans
 from chromafold.llm.quality import verdicts
+from chromafold.llm.rules import classify
 from chromafold.llm.simhash import near_duplicates
 from chromafold.llm.substring import remove_spans
 
@@ -21,6 +24,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def remainder(n: int) -> Column:
+    """crc32 of doc_id as text, modulo ``n``; null where doc_id is."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every document when runs of 35 words that occur elsewhere are removed."""
     return remove_spans(table(spark, sf_dir, "documents"))
@@ -31,6 +39,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the four fifths that are not held out."""
+    found = identify(table(spark, sf_dir, "documents"), learn=remainder(5) != 0)
+    return found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     return verdicts(table(spark, sf_dir, "documents")).drop("text_hash", "removed")
@@ -41,5 +55,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_substring": op1_substring, "op2_simhash": op2_simhash, "op6_quality": op6_quality, "op8_pii": op8_pii, "op10_packing": op10_packing}
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels that are not held out."""
+    found = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=remainder(4) != 2)
+    return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op1_substring": op1_substring, "op2_simhash": op2_simhash, "op4_language": op4_language, "op6_quality": op6_quality, "op8_pii": op8_pii, "op9_quality_classifier": op9_quality_classifier, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
