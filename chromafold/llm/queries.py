@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromafold.llm.language import identify
+from chromafold.llm.neighbours import search
 from chromafold.llm.packing import pack
 from chromafold.llm.pii import find_spans
 from chromafold.llm.quality import verdicts
@@ -50,6 +51,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "documents")).drop("text_hash", "removed")
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data and secrets in every document."""
     return find_spans(table(spark, sf_dir, "documents"))
@@ -61,5 +67,5 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_substring": op1_substring, "op2_simhash": op2_simhash, "op4_language": op4_language, "op6_quality": op6_quality, "op8_pii": op8_pii, "op9_quality_classifier": op9_quality_classifier, "op10_packing": op10_packing}
+QUERIES = {"op1_substring": op1_substring, "op2_simhash": op2_simhash, "op4_language": op4_language, "op6_quality": op6_quality, "op7_neighbours": op7_neighbours, "op8_pii": op8_pii, "op9_quality_classifier": op9_quality_classifier, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
