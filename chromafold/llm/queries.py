@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chromafold.llm.html_text import main_text
 from chromafold.llm.language import identify
 from chromafold.llm.neighbours import search
 from chromafold.llm.packing import pack
@@ -40,6 +41,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from the four fifths that are not held out."""
     found = identify(table(spark, sf_dir, "documents"), learn=remainder(5) != 0)
@@ -67,5 +73,5 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_substring": op1_substring, "op2_simhash": op2_simhash, "op4_language": op4_language, "op6_quality": op6_quality, "op7_neighbours": op7_neighbours, "op8_pii": op8_pii, "op9_quality_classifier": op9_quality_classifier, "op10_packing": op10_packing}
+QUERIES = {"op1_substring": op1_substring, "op2_simhash": op2_simhash, "op3_html": op3_html, "op4_language": op4_language, "op6_quality": op6_quality, "op7_neighbours": op7_neighbours, "op8_pii": op8_pii, "op9_quality_classifier": op9_quality_classifier, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
