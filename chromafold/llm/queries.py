@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chromafold.llm.byte_bpe import encode
 from chromafold.llm.html_text import main_text
 from chromafold.llm.language import identify
 from chromafold.llm.neighbours import search
@@ -52,6 +53,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the bytes they decode to."""
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     return verdicts(table(spark, sf_dir, "documents")).drop("text_hash", "removed")
@@ -73,5 +79,5 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_substring": op1_substring, "op2_simhash": op2_simhash, "op3_html": op3_html, "op4_language": op4_language, "op6_quality": op6_quality, "op7_neighbours": op7_neighbours, "op8_pii": op8_pii, "op9_quality_classifier": op9_quality_classifier, "op10_packing": op10_packing}
+QUERIES = {"op1_substring": op1_substring, "op2_simhash": op2_simhash, "op3_html": op3_html, "op4_language": op4_language, "op5_byte_bpe": op5_byte_bpe, "op6_quality": op6_quality, "op7_neighbours": op7_neighbours, "op8_pii": op8_pii, "op9_quality_classifier": op9_quality_classifier, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
