@@ -35,7 +35,7 @@ from chromafold.llm.arrowtext import slices
 LONG = 256
 NONE = 1 << 20  # the rank of a pair that is no token
 #: Fixed value: Unicode white space, as a character class; Python's and Java's own classes differ from it.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 BUCKET_BITS, SLOT_BITS = 16, 18
 _MIX1, _MIX2 = 0x2545F491, 0x1B873593  # below 2**30: products of 32-bit keys stay below 2**63
 
