@@ -1 +1 @@
-
+"""Column functions on words, keys, targets and numbers."""

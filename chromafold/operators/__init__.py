@@ -1 +1 @@
-
+"""Vocabulary, graph, coloring, encoder and report operators."""

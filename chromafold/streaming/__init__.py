@@ -1 +1 @@
-
+"""Encoding of streams with a fitted dictionary."""
