@@ -395,7 +395,7 @@ CUMULATIVE = """cum AS (SELECT color, fid, row_number() OVER w AS "at", sum(neg)
 WINDOW w AS (PARTITION BY color ORDER BY CAST(neg AS DOUBLE) / (pos + neg), fid ROWS UNBOUNDED PRECEDING))"""
 
 
-@query(f"WITH {SPARSE}, {NULLS}, {CUMULATIVE} SELECT color, fid, "at", CAST(cum_neg AS BIGINT) AS cum_neg, CAST(cum_cnt AS BIGINT) AS cum_cnt FROM cum")
+@query(f"WITH {SPARSE}, {NULLS}, {CUMULATIVE} SELECT color, fid, \"at\", CAST(cum_neg AS BIGINT) AS cum_neg, CAST(cum_cnt AS BIGINT) AS cum_cnt FROM cum")
 def mi_cumulative(spark, sf_dir):
     return quantizer.cumulative(mi_null_features(spark, sf_dir)).select("color", "fid", "at", "cum_neg", "cum_cnt")
 
