@@ -92,7 +92,7 @@ def greedy_rounds(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def color(edges: DataFrame, vertices: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """(fid, color) of all vertices (ids 0 to n - 1)."""
-    edges = edges.select("l", "r").checkpoint()
+    edges = edges.select("l", "r", F.lit(1).alias("freq")).checkpoint()
     if edges.limit(driver_edges + 1).count() > driver_edges:
         return greedy_rounds(edges, vertices)
     n = vertices.count()
