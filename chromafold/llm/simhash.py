@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from chromafold.llm.arrowtext import slices, text_buffers
 from chromafold.llm.components import components
-from chromafold.llm.lineage import hold, written
+from chromafold.llm.lineage import hold
 
 BYTES = 8
 
@@ -235,10 +235,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """The row of ``docs`` with the smallest id of each class, all columns unchanged.
 
-    Rows without an id never stand for a class that has one; of rows that share the id, one stays.
+    Rows without an id never stand for a class that has one; of rows that share id and text, any one stays.
     """
-    rows = written(docs.select("*", F.monotonically_increasing_id().alias("_row")))
-    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_row").alias("r"))
-    signed = hold(fingerprints(rows.withColumn("_at", key), "_at", text_col, shingle))
-    kept = classes(signed, max_bits).select(F.col("name.r").alias("_kept")).distinct()
-    return rows.join(kept, rows["_row"] == kept["_kept"], "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    hashed = F.xxhash64(text)
+    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), hashed.alias("h"))
+    signed = hold(fingerprints(docs.withColumn("_at", key), "_at", text_col, shingle))
+    kept = classes(signed, max_bits).select(F.col("name.i").alias("_i"), F.col("name.h").alias("_h")).distinct()
+    rows = docs.withColumn("_of", hashed)
+    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_of") == F.col("_h")), "left_semi")
+    return rows.dropDuplicates([id_col, "_of"]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -151,7 +151,10 @@ def repeated_spans(texts: DataFrame, keyed: DataFrame, length: int, shard_limit:
     often = _anchors(keyed, length).groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
     often = often.select(F.col("h").alias("again")).repartition(parts)  # keeps the join's shuffle splittable
     found = _anchors(keyed, length)
-    found = written(found.join(often, found.h == often.again, "left_semi").groupBy("h", "c", "t", "p").agg(F.lit(1).alias("one")).drop("one"))
+    found = found.join(often, found.h == often.again, "left_semi")
+    turned = F.bitwise_not("h").alias("x")  # a key that the join is not dealt by, so that its hot anchors can be split
+    found = found.select(turned, "c", "t", "p").groupBy("x", "c", "t", "p").agg(F.lit(1).alias("one"))
+    found = written(found.select(F.bitwise_not("x").alias("h"), "c", "t", "p"))
     kinds = written(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("t", "p")).alias("at")))
     whole = kinds.where("n > 1").select(F.col("h").alias("wh"), F.col("c").alias("wc"))
     whole = found.join(whole, (found.h == whole.wh) & (found.c == whole.wc), "left_semi").select("t", *_place(F.col("p")))
