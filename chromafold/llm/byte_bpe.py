@@ -1,14 +1,15 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over the byte arrays of distinct words.
 
-1. Each task cuts its texts into the pattern's matches ("words"), numbers the distinct ones of a chunk of text
-   (``chunk_bytes`` at most, but one text at least), and passes on one row per chunk.
+1. Each task cuts its texts into the pattern's matches ("words"), numbers the distinct ones, and passes on one row
+   per chunk of text (``chunk_bytes`` at most, but one text at least) with the words that are new to the task.
+   After ``max_words`` words it starts afresh.
 2. Spark folds the merges over each distinct word: an ``aggregate`` that merges the adjacent pair of lowest
    rank until none is left. The rank map is a literal: a perfect hash of pairs of ranks, held in three
    constant arrays, so that a lookup is arithmetic and three array reads. Decoding concatenates the binary
    pieces of a word's ids, read from a constant array of tokens.
 3. The same task puts the words' ids and bytes back in the order of its texts.
 
-Nothing is shuffled. Words of more than ``LONG`` bytes, for which a fold that copies its array at every merge
+Nothing is shuffled. A word that is itself a token needs no fold. Words of more than ``LONG`` bytes, for which a fold that copies its array at every merge
 would take quadratic time, are merged with a priority queue instead; the result is the same.
 
 Defined cases: null text counts as empty (no tokens); null ids are carried; repeated rows get equal results;
@@ -23,6 +24,7 @@ import heapq
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -102,8 +104,9 @@ def folded(words: Column, ranks: dict[bytes, int]) -> Column:
     """array<array<int>>: the ids of each word of an array of byte arrays."""
     table = PairTable.build(pair_ranks(ranks))
     singles = [ranks[bytes([b])] for b in range(256)]
+    first = [ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)]
     literals = F.struct(_numbers(table.shifts, "bigint").alias("shifts"), _numbers(table.keys, "bigint").alias("keys"),
-                        _numbers(table.values, "int").alias("values"), _numbers(singles, "bigint").alias("singles"))
+                        _numbers(table.values, "int").alias("values"), _numbers(singles, "bigint").alias("singles"), _numbers(first, "int").alias("first"))
 
     def with_tables(t: Column) -> Column:
         def rank(left: Column, right: Column) -> Column:
@@ -126,11 +129,10 @@ def folded(words: Column, ranks: dict[bytes, int]) -> Column:
             return let(F.array_min(a["ranks"]), lambda low: F.when(low < NONE, at(low)).otherwise(a))
 
         def word(w: Column) -> Column:
-            def start(ids: Column) -> Column:
-                first = F.struct(ids.alias("ids"), F.transform(F.slice(ids, F.lit(2), F.size(ids)), lambda x, i: rank(F.get(ids, i), x)).alias("ranks"))
-                return F.aggregate(F.sequence(F.lit(2), F.size(ids)), first, merge, lambda a: a["ids"])
-
-            return let(F.transform(w, lambda b: F.get(t["singles"], b.cast("int"))), lambda ids: F.when(F.size(ids) > 1, start(ids)).otherwise(ids))
+            ids = F.transform(w, lambda b: F.get(t["singles"], b))
+            pairs = F.transform(F.slice(w, F.lit(2), F.size(w)), lambda b, i: F.get(t["first"], F.get(w, i) * 256 + b))
+            first = F.struct(ids.alias("ids"), pairs.alias("ranks"))
+            return F.when(F.size(w) > 1, F.aggregate(F.sequence(F.lit(2), F.size(w)), first, merge, lambda a: a["ids"])).otherwise(ids)
 
         return F.transform(words, word)
 
@@ -193,20 +195,22 @@ class Numbered(dict):
         return n
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 32 << 20, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 12 << 20, max_words: int = 500_000, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; ``with_ids`` adds ids and decoded bytes."""
     ranks = load_ranks(ranks_path)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = word_finder(pattern)
+        find, own = word_finder(pattern), load_ranks(ranks_path)
         doc_ids: list[pa.Array] = []
         rows: list[np.ndarray] = []
-        held, units = 0, Numbered()
+        held, units, words = 0, Numbered(), Numbered()
 
         def out() -> pa.RecordBatch:
-            words: Numbered = Numbered()
+            if len(words) > max_words:  # both ends of the task forget what it has seen
+                words.clear()
+            before = len(words)
             of_unit = [[words[w] for w in find(u)] for u in units]
             ends = np.cumsum(np.fromiter(map(len, of_unit), np.int64, len(of_unit)))
             flat = np.fromiter((w for ws in of_unit for w in ws), np.int32, int(ends[-1]) if len(ends) else 0)
@@ -216,8 +220,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 size = (ends - begins)[r]
                 stop = np.cumsum(size)
                 seqs.append(flat[np.repeat(begins[r] - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)])
-            raw = [w.encode("utf-8") for w in words]
-            short = pa.array([np.frombuffer(w if len(w) <= LONG else b"", np.uint8).astype(np.int16) for w in raw], pa.list_(pa.int16()))
+            raw = [w.encode("utf-8") for w in islice(words, before, None)]
+            known = {before + i: own[w] for i, w in enumerate(raw) if w in own}
+            folds = [b"" if len(w) > LONG or w in own else w for w in raw]
+            stops = np.concatenate([[0], np.cumsum(np.fromiter(map(len, folds), np.int32, len(folds)))]).astype(np.int32)
+            flat_bytes = np.frombuffer(b"".join(folds), np.uint8).astype(np.int32)
+            short = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(flat_bytes, pa.int32()))
             table = pa.RecordBatch.from_arrays([pa.concat_arrays(doc_ids)], ["doc_id"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as writer:
@@ -226,7 +234,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             long_words = [w if len(w) > LONG else None for w in raw]
             columns = {"docs": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "lens": pa.array([lens.tobytes()], pa.binary()),
                        "seq": pa.array([np.concatenate([np.zeros(0, np.int32), *seqs]).tobytes()], pa.binary()),
-                       "long": pa.array([[(i, w) for i, w in enumerate(long_words) if w is not None]], pa.list_(pa.struct([("i", pa.int32()), ("w", pa.binary())]))),
+                       "long": pa.array([[(before + i, w) for i, w in enumerate(long_words) if w is not None]], pa.list_(pa.struct([("i", pa.int32()), ("w", pa.binary())]))),
+                       "before": pa.array([before], pa.int32()), "known": pa.array([np.array([*known.keys(), *known.values()], np.int32).tobytes()], pa.binary()),
                        "words": pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), short)}
             return pa.RecordBatch.from_pydict(columns)
 
@@ -243,26 +252,34 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         if doc_ids:
             yield out()
 
-    packed = source.mapInArrow(chunks, "docs binary, lens binary, seq binary, long array<struct<i:int,w:binary>>, words array<array<smallint>>")
-    coded = packed.select("docs", "lens", "seq", "long", folded(F.col("words"), ranks).alias("ids"))
+    packed = source.mapInArrow(chunks, "docs binary, lens binary, seq binary, long array<struct<i:int,w:binary>>, before int, known binary, words array<array<int>>")
+    coded = packed.select("docs", "lens", "seq", "long", "before", "known", folded(F.col("words"), ranks).alias("ids"))
     coded = coded.select("*", pieces(F.col("ids"), ranks).alias("bytes"))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[bytes, int] = {}
+        own = load_ranks(ranks_path)
+        names = [t for t, _ in sorted(own.items(), key=lambda x: x[1])]
+        ids: list[list[int]] = []
+        parts: list[bytes] = []
+        texts: list[bytes] = []
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 words = row.column("ids").flatten()
                 flat = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-                ids = [flat[s:e].tolist() for s, e in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)] if len(ends) else []
-                parts = row.column("bytes").flatten().to_pylist()
+                before = row.column("before")[0].as_py()
+                if not before:
+                    ids, parts, texts = [], [], []
+                if len(ends):
+                    ids += [flat[s:e].tolist() for s, e in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)]
+                parts += row.column("bytes").flatten().to_pylist()
+                for i_, k in np.frombuffer(row.column("known")[0].as_py(), np.int32).reshape(2, -1).T.tolist():
+                    ids[i_], parts[i_] = [k], names[k]
                 for x in row.column("long")[0].as_py():
-                    own = own or load_ranks(ranks_path)
                     ids[x["i"]] = merge_long(x["w"], own)
-                    names = names_of(own)
                     parts[x["i"]] = b"".join(names[k] for k in ids[x["i"]])
-                texts = [" ".join(map(str, w)).encode() for w in ids]
+                texts += [" ".join(map(str, w)).encode() for w in islice(ids, before, None)]
                 sizes = np.array([len(w) for w in ids], np.int64)
                 seq = np.frombuffer(row.column("seq")[0].as_py(), np.int32)
                 stops = np.cumsum(np.frombuffer(row.column("lens")[0].as_py(), np.int64)).tolist()
@@ -286,11 +303,3 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
     return coded.mapInArrow(unpack, schema)
 
-
-_names: dict[int, list[bytes]] = {}
-
-
-def names_of(ranks: dict[bytes, int]) -> list[bytes]:
-    if id(ranks) not in _names:
-        _names[id(ranks)] = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
-    return _names[id(ranks)]

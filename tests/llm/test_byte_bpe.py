@@ -26,8 +26,8 @@ def texts():
 def test_matches_tiktoken(spark, reference):
     rows = [(i, t, 1, "y") for i, t in enumerate(texts())] + [(None, "no id", 1, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, words string").repartition(3)
-    for chunk in (32 << 20, 500):
-        got = encode(df, PATH, public_tokenizers.PATTERN, chunk_bytes=chunk, with_ids=True).collect()
+    for chunk, most in ((32 << 20, 10**6), (500, 10**6), (500, 40)):
+        got = encode(df, PATH, public_tokenizers.PATTERN, chunk_bytes=chunk, max_words=most, with_ids=True).collect()
         assert len(got) == len(rows)
         want = {i: t or "" for i, t, *_ in rows}
         for r in got:
