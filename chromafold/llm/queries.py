@@ -80,4 +80,16 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_substring": op1_substring, "op2_simhash": op2_simhash, "op3_html": op3_html, "op4_language": op4_language, "op5_byte_bpe": op5_byte_bpe, "op6_quality": op6_quality, "op7_neighbours": op7_neighbours, "op8_pii": op8_pii, "op9_quality_classifier": op9_quality_classifier, "op10_packing": op10_packing}
-ORACLES: dict[str, str] = {}
+#: The other operators' hashes, models, tokenizers and searches have no SQL form; they are tested against brute force.
+ORACLES: dict[str, str] = {"op1_substring": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM d),
+runs AS (SELECT doc_id, k, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) AS h,
+         count(*) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS n FROM w),
+again AS (SELECT h FROM runs WHERE n = 35 GROUP BY h HAVING count(*) > 1),
+starts AS (SELECT doc_id, k FROM runs SEMI JOIN again USING (h) WHERE n = 35),
+last AS (SELECT w.doc_id, w.k, w.word, max(s.k) OVER (PARTITION BY w.doc_id ORDER BY w.k) AS s FROM w LEFT JOIN starts s ON s.doc_id = w.doc_id AND s.k = w.k),
+marked AS (SELECT doc_id, k, word, coalesce(k - s < 35, false) AS gone FROM last)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, count(m.k) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY m.k) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN marked m ON m.doc_id = d.doc_id GROUP BY d.doc_id, len(d.ws)""".strip()}
