@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromafold.operators import graph
+from chromafold.sources.lineage import hold
 
 DRIVER_EDGES = 5_000_000
 
@@ -71,20 +72,20 @@ def _frame(spark: SparkSession, **columns: np.ndarray) -> DataFrame:
 
 def greedy_rounds(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(fid, color) by rounds of DataFrame operations; lineage is cut in the session's checkpoint folder."""
-    ranked = graph.degrees(edges, vertices).checkpoint()
+    ranked = hold(graph.degrees(edges, vertices))
     d = ranked.select(F.col("fid").alias("v"), F.col("degree").alias("dv"))
     both = graph.both_ways(edges).select("fid", "other")
     ends = both.join(ranked, "fid").join(d, F.col("other") == F.col("v"))
-    earlier = ends.where((F.col("dv") > F.col("degree")) | (F.col("dv") == F.col("degree")) & (F.col("other") < F.col("fid"))).select("fid", "other").checkpoint()
-    colors = ranked.join(earlier, "fid", "left_anti").select("fid", F.lit(0).alias("color")).checkpoint()
-    waiting = ranked.select("fid").join(colors, "fid", "left_anti").checkpoint()
+    earlier = hold(ends.where((F.col("dv") > F.col("degree")) | (F.col("dv") == F.col("degree")) & (F.col("other") < F.col("fid"))).select("fid", "other"))
+    colors = hold(ranked.join(earlier, "fid", "left_anti").select("fid", F.lit(0).alias("color")))
+    waiting = hold(ranked.select("fid").join(colors, "fid", "left_anti"))
     while not waiting.isEmpty():
         known = colors.select(F.col("fid").alias("other"), "color")
         state = waiting.join(earlier, "fid").join(known, "other", "left").groupBy("fid").agg(F.count_if(F.col("color").isNull()).alias("open"), F.collect_set("color").alias("used"))
         free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("used")), F.col("used")))
         done = state.where("open = 0").select("fid", free.alias("color"))
-        colors = colors.unionAll(done).checkpoint()
-        waiting = waiting.join(colors, "fid", "left_anti").checkpoint()
+        colors = hold(colors.unionAll(done))
+        waiting = hold(waiting.join(colors, "fid", "left_anti"))
     sizes = colors.groupBy("color").agg(F.count("*").alias("n"))
     ranks = sizes.select("color", (F.row_number().over(Window.orderBy(F.col("n").desc(), "color")) - 1).alias("new"))  # one row per color
     return colors.join(F.broadcast(ranks), "color").select("fid", F.col("new").cast("int").alias("color"))
@@ -92,7 +93,7 @@ def greedy_rounds(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def color(edges: DataFrame, vertices: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """(fid, color) of all vertices (ids 0 to n - 1)."""
-    edges = edges.select("l", "r", F.lit(1).alias("freq")).checkpoint()
+    edges = hold(edges.select("l", "r", F.lit(1).alias("freq")))
     if edges.limit(driver_edges + 1).count() > driver_edges:
         return greedy_rounds(edges, vertices)
     n = vertices.count()
@@ -147,7 +148,7 @@ def filtered_diagnostics(train: DataFrame, valid: DataFrame, vertices: DataFrame
     edges and degrees those of the thresholded one without masked vertices.
     """
     spark, n = train.sparkSession, vertices.count()
-    train, valid = train.checkpoint(), valid.checkpoint()
+    train, valid = hold(train), hold(valid)
     out = []
     for k in range(1, max_k + 1):
         kept = graph.threshold(train, k)

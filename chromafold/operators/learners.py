@@ -32,7 +32,7 @@ def learner(name: str, quadratic: bool = False, categories: int = 0, iterations:
     kinds = {
         "lr": lambda: LogisticRegression(featuresCol=column, maxIter=iterations, regParam=1e-4),
         "gbt": lambda: GBTClassifier(featuresCol=column, maxIter=iterations, seed=7, maxBins=max(32, categories)),
-        "fm": lambda: FMClassifier(featuresCol=column, maxIter=iterations, factorSize=4, seed=7),
+        "fm": lambda: FMClassifier(featuresCol=column, maxIter=5 * iterations, factorSize=4, stepSize=0.05, regParam=1e-4, seed=7),
     }
     return Pipeline(stages=[*stages, kinds[name]()])
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromafold.operators.encoders import Dictionary, class_sketch, class_totals, sparse_budget
+from chromafold.sources.lineage import hold
 
 NULL = -1  # fid of the null of color c is NULL - c
 LEAST_GAIN = 1e-12
@@ -115,7 +116,7 @@ def fit_quantizer(features: DataFrame, lines: DataFrame, colors: DataFrame, budg
     pos, neg = totals.first()
     if not pos or not neg:
         raise ValueError("both classes must occur")
-    items = with_nulls(class_sketch(features, lines), colors, totals).checkpoint()
+    items = hold(with_nulls(class_sketch(features, lines), colors, totals))
     ncolors = items.select("color").distinct().count()
     slots = sparse_budget(budget, ndense) - ncolors + budget_slack
     if slots < 0:
@@ -129,7 +130,7 @@ def fit_quantizer(features: DataFrame, lines: DataFrame, colors: DataFrame, budg
     sizes = interval.groupBy("color").agg((F.max("part") + 1).alias("n"))
     first = Window.orderBy("color").rowsBetween(Window.unboundedPreceding, -1)  # one row per color
     starts = sizes.select("color", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("start"))
-    table = interval.join(F.broadcast(starts), "color").select("fid", "color", (F.col("start") + F.col("part")).cast("int").alias("quantum")).checkpoint()
+    table = hold(interval.join(F.broadcast(starts), "color").select("fid", "color", (F.col("start") + F.col("part")).cast("int").alias("quantum")))
     width = (table.agg(F.max("quantum")).first()[0] or 0) + 1
     dims = lines.sparkSession.range(width).select(F.col("id").cast("int").alias("idx"), F.lit(1).alias("dim"))
     return Dictionary(kind, table, dims, width)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromafold.functions.features import number
+from chromafold.sources.lineage import hold
 from chromafold.sources.readers import Examples
 
 #: The points of the quantile report, in thousandths of a percent.
@@ -22,7 +23,7 @@ def ordinal(df: DataFrame, order: list[Column], name: str, spread: bool = False)
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    placed = hold(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     before, total = [], 0
     for r in sorted(placed.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("at")).collect()):
         before += [F.lit(r["_part"]), F.lit(total - r["at"])]

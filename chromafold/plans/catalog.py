@@ -16,6 +16,7 @@ from chromafold.operators import coloring, diagnostics, encoders, graph, learner
 from chromafold.plans import fixtures as fix
 from chromafold.plans.pipeline import Encoder
 from chromafold.sources import readers, writers
+from chromafold.sources.lineage import hold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -294,7 +295,7 @@ def glauber_collisions(spark, sf_dir):
     import numpy as np
 
     data = fix.user_days(spark, sf_dir)
-    words = vocab.fit_vocab(data).checkpoint()
+    words = hold(vocab.fit_vocab(data))
     sparse = words.where("not dense")
     edges = graph.edge_counts(vocab.line_arrays(data, words))
     n = sparse.count()

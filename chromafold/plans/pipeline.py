@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chromafold.functions.features import estimation_half
 from chromafold.operators import coloring, encoders, graph, quantizer, vocab
+from chromafold.sources.lineage import hold
 from chromafold.sources.readers import Examples
 
 KINDS = ("te", "sm", "sn", "ss", "ns", "ft", "faft", "id")
@@ -65,14 +66,14 @@ class Encoder:
 
     def fit(self, data: Examples, tabular: bool = False) -> EncoderModel:
         found = vocab.fit_table_vocab(data) if tabular else vocab.fit_vocab(data, self.dense_fraction, self.freq_cutoff)
-        found = found.checkpoint()
+        found = hold(found)
         ndense = 0 if tabular else found.where("dense").count()
         colors = None
         if tabular:
-            colors = coloring.table_colors(found).select("fid", "color").checkpoint()
+            colors = hold(coloring.table_colors(found).select("fid", "color"))
         elif self.kind != "ft":
             sparse = found.where("not dense")
-            colors = coloring.color(graph.edge_counts(vocab.line_arrays(data, found)), sparse.select("fid"), self.driver_edges).checkpoint()
+            colors = hold(coloring.color(graph.edge_counts(vocab.line_arrays(data, found)), sparse.select("fid"), self.driver_edges))
         sparse = found if tabular else found.where("not dense")
         features, lines, held = vocab.line_features(data, found), data.lines, None
         if self.kind == "ft":
@@ -85,7 +86,7 @@ class Encoder:
             dictionary = encoders.fit_identity(colors, self.budget, ndense)
         else:
             if self.kind in ("sm", "ss"):
-                held = self._estimation(data).checkpoint()
+                held = hold(self._estimation(data))
                 lines = lines.join(held, "ex_id", "left_semi")
             dictionary = quantizer.fit_quantizer(features, lines, colors, self.budget, ndense, self.kind, self.budget_slack)
         return EncoderModel(found, colors, dictionary, held, ndense)
