@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from chromafold.sources.lineage import hold, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only a session that names none (a test on one machine) gets its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else None
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def hold(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written once to the shared folder and read from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["hold", "shared_dir", "written"]
 
 
 def written(df: DataFrame) -> DataFrame:
