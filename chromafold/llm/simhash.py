@@ -18,7 +18,7 @@ empty table gives an empty result; other input columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -214,34 +214,43 @@ def similar(fps: DataFrame, max_bits: int = 4, list_limit: int = 2048, target_li
     return links.unionAll(spread.mapInArrow(compare, "a long, b long, key long").select("a", "b"))
 
 
+def named(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """(of, name) for every row of ``distinct`` (fp, first): the smallest ``first`` of its component of ``links``."""
+    parts = distinct.sparkSession.sparkContext.defaultParallelism
+    roots = components(links)
+    rooted = hold(distinct.join(roots, distinct.fp == roots.vertex, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    names = rooted.groupBy("root").agg(F.min("first").alias("name"))
+    return rooted.select("fp", "root").join(names, "root").select(F.col("fp").alias("of"), "name").repartition(parts)
+
+
 def classes(signed: DataFrame, max_bits: int = 4) -> DataFrame:
     """(of, name) for every distinct fingerprint of ``signed``: the smallest doc_id of its class."""
-    parts = signed.sparkSession.sparkContext.defaultParallelism
     distinct = hold(signed.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(similar(distinct.select("fp"), max_bits))
-    rooted = hold(distinct.join(roots, distinct.fp == roots.vertex, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("first").alias("name"))
-    return rooted.select("fp", "root").join(named, "root").select(F.col("fp").alias("of"), "name").repartition(parts)
+    return named(distinct, similar(distinct.select("fp"), max_bits))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``."""
     signed = hold(fingerprints(docs, id_col, text_col, shingle))
-    named = classes(signed, max_bits)
-    return signed.join(named, signed.fp == named.of).select(
+    classed = classes(signed, max_bits)
+    return signed.join(classed, signed.fp == classed.of).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("name").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """The row of ``docs`` with the smallest id of each class, all columns unchanged.
-
-    Rows without an id never stand for a class that has one; of rows that share id and text, any one stays.
-    """
+def kept_rows(docs: DataFrame, classed: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that name a class in ``classed`` (of, name), given ``docs`` with the key _at."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     hashed = F.xxhash64(text)
     key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), hashed.alias("h"))
-    signed = hold(fingerprints(docs.withColumn("_at", key), "_at", text_col, shingle))
-    kept = classes(signed, max_bits).select(F.col("name.i").alias("_i"), F.col("name.h").alias("_h")).distinct()
+    kept = classed(docs.withColumn("_at", key)).select(F.col("name.i").alias("_i"), F.col("name.h").alias("_h")).distinct()
     rows = docs.withColumn("_of", hashed)
     rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_of") == F.col("_h")), "left_semi")
     return rows.dropDuplicates([id_col, "_of"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """The row of ``docs`` with the smallest id of each class, all columns unchanged.
+
+    Rows without an id never stand for a class that has one; of rows that share id and text, any one stays.
+    """
+    return kept_rows(docs, lambda keyed: classes(hold(fingerprints(keyed, "_at", text_col, shingle)), max_bits), id_col, text_col)
