@@ -1,11 +1,11 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Base rules look at one document. The cross-document rule hashes normalised lines (lower case, white space
-collapsed, trimmed) and counts, for each host, the distinct documents that hold a line. Copies and near
-copies of one document must not make its own lines look like boilerplate, so a document counts by its
-signature, the smallest hash among its word windows: near copies nearly always share it. A line held by
-at least ``min_docs`` documents and ``min_share`` of its host's documents is removed; a document that loses
-more than ``max_removed`` of its characters is depleted and rejected.
+collapsed, trimmed) and counts, for each host, the distinct documents that hold a line. Documents are told
+apart by the hash of their whole text: copies of one document do not make its own lines look like boilerplate,
+but documents that differ anywhere count each, however much of them is shared. A line held by at least
+``min_docs`` documents and ``min_share`` of its host's documents is removed; a document that loses more than
+``max_removed`` of its characters is depleted and rejected.
 
 Defined cases: null text has no words and fails the base rules; a null host is a host of its own; null ids
 are carried; repeated rows get equal verdicts; an empty table gives an empty result; other input columns
@@ -65,7 +65,7 @@ def line_hashes(text: Column) -> Column:
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", window: int = 5,
                min_words: int = 10, max_repeated: int = 20) -> DataFrame:
-    """The base counts of every row, its host, signature and line hashes, and the hash of its text."""
+    """The base counts of every row, its host and line hashes, and the hash of its text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text.alias("text"))
     split = read.select("*", F.array_remove(F.split("text", SPACE), "").alias("w"), F.split("text", "\n").alias("lines"))
@@ -76,17 +76,17 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("full") - F.size(F.array_distinct("full"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("g"), window).alias("n_repeat_words"),
-        F.coalesce(F.array_min("g"), F.xxhash64("text")).alias("signature"), line_hashes(F.col("text")).alias("lines"))
+        line_hashes(F.col("text")).alias("lines"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words"))
     return counted.select("*", failed.alias("base_failed"), F.monotonically_increasing_id().alias("row"))
 
 
 def frequent_lines(stats: DataFrame, min_docs: int = 20, min_share: float = 0.05) -> DataFrame:
     """(host, h) of the lines above both limits."""
-    line = stats.select("host", "signature", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    held = line.groupBy("host", "h", "signature").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("docs"))
+    line = stats.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    held = line.groupBy("host", "h", "text_hash").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("docs"))
     held = held.where(F.col("docs") >= min_docs)
-    hosts = stats.groupBy("host", "signature").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("all_docs"))
+    hosts = stats.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("all_docs"))
     hosts = hosts.select(F.col("host").alias("of"), "all_docs").repartition(stats.sparkSession.sparkContext.defaultParallelism)
     return held.join(hosts, held.host.eqNullSafe(hosts.of)).where(F.col("docs") >= min_share * F.col("all_docs")).select("host", "h")
 
@@ -101,7 +101,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     hit = lines.join(bad, lines.host.eqNullSafe(bad.bad_host) & (lines.h == bad.bad_h))
     lost = hit.groupBy("row").agg(F.sum("n").alias("lost"), F.count("*").alias("removed_lines"), F.collect_set("h").alias("removed"))
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    out = stats.drop("signature", "host").withColumn("total", total).drop("lines").join(lost.withColumnRenamed("row", "lost_row"), F.col("row") == F.col("lost_row"), "left")
+    out = stats.drop("host").withColumn("total", total).drop("lines").join(lost.withColumnRenamed("row", "lost_row"), F.col("row") == F.col("lost_row"), "left")
     depleted = F.coalesce(F.col("lost") > max_removed * F.col("total"), F.lit(False))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -89,3 +89,13 @@ def test_repeated_rows_nulls_and_empty_table(spark):
     assert [r.kept for r in verdicts(df).collect()] == [True] * 3
     assert apply_rules(df).count() == 3
     assert verdicts(df.limit(0)).collect() == []
+
+
+def test_documents_that_are_mostly_boilerplate_count_each(spark):
+    rnd = random.Random(7)
+    own = lambda: " ".join(f"own{rnd.randrange(10**6)}" for _ in range(12))
+    shared = "\n".join(" ".join(f"shared{10 * k + i}" for i in range(10)) for k in range(10))
+    rows = [(i, f"{shared}\n{own()}", "h") for i in range(40)] + [(100 + i, own(), "h") for i in range(40)]
+    got = {r.doc_id: r for r in verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(not got[i].kept and got[i].removed_lines == 10 for i in range(40))
+    assert all(got[100 + i].kept and got[100 + i].removed_lines == 0 for i in range(40))
