@@ -240,12 +240,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def kept_rows(docs: DataFrame, classed: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that name a class in ``classed`` (of, name), given ``docs`` with the key _at."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    hashed = F.xxhash64(text)
-    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), hashed.alias("h"))
-    kept = classed(docs.withColumn("_at", key)).select(F.col("name.i").alias("_i"), F.col("name.h").alias("_h")).distinct()
-    rows = docs.withColumn("_of", hashed)
-    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_of") == F.col("_h")), "left_semi")
-    return rows.dropDuplicates([id_col, "_of"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(text).alias("h"))
+    rows = docs.withColumn("_at", key)
+    kept = classed(rows).select(F.col("name").alias("_name")).distinct()
+    rows = rows.join(kept, F.col("_at") == F.col("_name"), "left_semi").dropDuplicates(["_at"])  # one shuffle of the texts
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
