@@ -1,19 +1,23 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over the byte arrays of distinct words.
 
-1. Each task cuts its texts into the pattern's matches ("words"), numbers the distinct ones, and passes on one row
+1. *Common words.* The words of a bounded sample of rows (``sample_rows`` on average) are counted; the
+   ``common`` most frequent are folded once and broadcast with their ids, so that tasks need not fold them again.
+   Which words these are changes the work, not the result.
+2. Each task cuts its texts into the pattern's matches ("words"), numbers the distinct ones, and passes on one row
    per chunk of text (``chunk_bytes`` at most, but one text at least) with the words that are new to the task.
    After ``max_words`` words it starts afresh.
-2. Spark folds the merges over each distinct word: an ``aggregate`` that merges the adjacent pair of lowest
-   rank until none is left. The rank map is a literal: a perfect hash of pairs of ranks, held in three
-   constant arrays, so that a lookup is arithmetic and three array reads. Decoding concatenates the binary
-   pieces of a word's ids, read from a constant array of tokens.
-3. The same task puts the words' ids and bytes back in the order of its texts.
-
-Nothing is shuffled. A word that is itself a token needs no fold. Words of more than ``LONG`` bytes, for which a fold that copies its array at every merge
-would take quadratic time, are merged with a priority queue instead; the result is the same.
-
-Defined cases: null text counts as empty (no tokens); null ids are carried; repeated rows get equal results;
-an empty table gives an empty result; other input columns are ignored.
+3. Spark folds the merges over each distinct word: an ``aggregate`` that merges the leftmost adjacent pair of lowest
+   rank until none is left. Its state is one array of numbers, each a token with its place and the rank of the
+   pair that it opens, so that the array's minimum is the next merge. The rank map is a literal: a perfect hash of
+   pairs of ranks in two constant arrays, so that a lookup is arithmetic and two array reads. Decoding
+   concatenates the binary pieces of a word's ids, read from a constant array of tokens.
+4. The same task puts the words' ids and bytes back in the order of its texts.
+
+Only the sample's counts are shuffled. Words of more than ``LONG`` bytes, for which a fold that copies its array at
+every merge would take quadratic time, are merged with a priority queue instead; the result is the same.
+
+Defined cases: null text counts as empty (no tokens); null ids are carried; repeated rows get equal results; very long
+texts are taken whole, as a chunk of their own; an empty table gives an empty result; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,24 +26,29 @@ import base64
 import hashlib
 import heapq
 import re
+import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from itertools import islice
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromafold.llm.arrowtext import slices
+from chromafold.llm.lineage import hold
 
 LONG = 256
-NONE = 1 << 20  # the rank of a pair that is no token
+RANK_BITS, PLACE_BITS = 17, 20
+NONE = 1 << RANK_BITS  # the rank of a pair that is no token
 #: Fixed value: Unicode white space, as a character class; Python's and Java's own classes differ from it.
 SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-BUCKET_BITS, SLOT_BITS = 16, 18
-_MIX1, _MIX2 = 0x2545F491, 0x1B873593  # below 2**30: products of 32-bit keys stay below 2**63
+BUCKET_BITS, SLOT_BITS = 16, 17
+_MIX, _STEP = 0x2545F491, 0x9E3779B1  # multipliers stay below 2**29: products of 34-bit keys stay below 2**63
+_FREE = 1 << 60
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -60,35 +69,43 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 @dataclass
 class PairTable:
-    """A perfect hash: key -> bucket -> shift -> slot; ``keys[slot]`` tells whether the key is there."""
+    """A perfect hash: a pair's key picks a bucket, whose shift moves the key's slot; a slot holds key and rank."""
 
     shifts: list[int]
-    keys: list[int]
-    values: list[int]
+    slots: list[int]
+    mix: int
 
     @classmethod
     def build(cls, pairs: dict[tuple[int, int], int]) -> PairTable:
-        keys = np.array([a << 16 | b for a, b in pairs], np.int64)
-        values = list(pairs.values())
-        bucket = (keys * _MIX1 >> 20) & ((1 << BUCKET_BITS) - 1)
+        keys = [a << RANK_BITS | b for a, b in pairs]
+        bits = max(SLOT_BITS, (len(keys) * 6 // 5).bit_length())
         members: dict[int, list[int]] = {}
-        for i, b in enumerate(bucket.tolist()):
-            members.setdefault(b, []).append(i)
-        shifts, slot_keys, slot_values = [0] * (1 << BUCKET_BITS), [-1] * (1 << SLOT_BITS), [NONE] * (1 << SLOT_BITS)
+        for i, k in enumerate(keys):
+            members.setdefault(bucket(k), []).append(i)
+        for mix in (k * _STEP % (1 << 29) | 1 for k in range(1, 200)):
+            if all(len({slot(keys[i], 0, mix, bits) for i in some}) == len(some) for some in members.values()):
+                break
+        else:
+            raise ValueError("no multiplier tells all pairs of a bucket apart")
+        values, shifts, slots = list(pairs.values()), [0] * (1 << BUCKET_BITS), [_FREE] * (1 << bits)
         for b, some in sorted(members.items(), key=lambda x: -len(x[1])):
-            mine = [int(keys[i]) for i in some]
-            for shift in range(1 << 24):
-                slots = {slot(k, shift) for k in mine}
-                if len(slots) == len(mine) and all(slot_keys[s] < 0 for s in slots):
-                    break
-            shifts[b] = shift
-            for i, k in zip(some, mine, strict=True):
-                slot_keys[slot(k, shift)], slot_values[slot(k, shift)] = k, values[i]
-        return cls(shifts, slot_keys, slot_values)
+            shifts[b] = next(s for s in range(1 << bits) if all(slots[slot(keys[i], s, mix, bits)] == _FREE for i in some))
+            for i in some:
+                slots[slot(keys[i], shifts[b], mix, bits)] = keys[i] << RANK_BITS | values[i]
+        return cls(shifts, slots, mix)
+
+    def rank(self, left: int, right: int) -> int:
+        """What the column expression of ``folded`` computes."""
+        key = left << RANK_BITS | right
+        return min(NONE, self.slots[slot(key, self.shifts[bucket(key)], self.mix, len(self.slots).bit_length() - 1)] ^ key << RANK_BITS)
+
+
+def bucket(key: int) -> int:
+    return key * _MIX >> 20 & (1 << BUCKET_BITS) - 1
 
 
-def slot(key: int, shift: int) -> int:
-    return ((key ^ shift * 7919) * _MIX2 >> 22) & ((1 << SLOT_BITS) - 1)
+def slot(key: int, shift: int, mix: int, bits: int) -> int:
+    return (key * mix >> 22) + shift & (1 << bits) - 1
 
 
 def _numbers(values: list[int], kind: str) -> Column:
@@ -103,40 +120,48 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def folded(words: Column, ranks: dict[bytes, int]) -> Column:
     """array<array<int>>: the ids of each word of an array of byte arrays."""
     table = PairTable.build(pair_ranks(ranks))
-    singles = [ranks[bytes([b])] for b in range(256)]
-    first = [ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)]
-    literals = F.struct(_numbers(table.shifts, "bigint").alias("shifts"), _numbers(table.keys, "bigint").alias("keys"),
-                        _numbers(table.values, "int").alias("values"), _numbers(singles, "bigint").alias("singles"), _numbers(first, "int").alias("first"))
+    size = len(table.slots) - 1
+    low_rank, by_place = NONE - 1, RANK_BITS + PLACE_BITS
+    none = F.lit(NONE).cast("bigint")
 
-    def with_tables(t: Column) -> Column:
+    def with_tables(slots: Column, shifts: Column, singles: Column) -> Column:
         def rank(left: Column, right: Column) -> Column:
-            key = left * 65536 + right
-            shift = F.get(t["shifts"], F.shiftright(key * _MIX1, 20).bitwiseAND((1 << BUCKET_BITS) - 1).cast("int"))
-            at = F.shiftright(key.bitwiseXOR(shift * 7919) * _MIX2, 22).bitwiseAND((1 << SLOT_BITS) - 1).cast("int")
-            return F.when(F.get(t["keys"], at) == key, F.get(t["values"], at)).otherwise(NONE)
+            def look(key: Column) -> Column:
+                shift = F.get(shifts, F.shiftright(key * _MIX, 20).bitwiseAND((1 << BUCKET_BITS) - 1).cast("int"))
+                at = (F.shiftright(key * table.mix, 22) + shift).bitwiseAND(size).cast("int")
+                return F.least(none, F.get(slots, at).bitwiseXOR(F.shiftleft(key, RANK_BITS)))  # the key's own slot leaves the rank
+
+            return let(F.shiftleft(left, RANK_BITS).bitwiseOR(right), look)
+
+        def opened(pair: Column, rest: Column) -> Column:
+            return F.shiftleft(F.coalesce(pair, none), by_place).bitwiseOR(rest)
 
         def merge(a: Column, _: Column) -> Column:
             def at(low: Column) -> Column:
-                return let(F.array_position(a["ranks"], low).cast("int"), lambda p: join(low, p))
+                return F.when(F.shiftright(low, by_place) >= NONE, a).otherwise(let(F.array_position(a, low).cast("int"), lambda p: join(low, p)))
 
             def join(low: Column, p: Column) -> Column:
-                ids, old, new = a["ids"], a["ranks"], low.cast("bigint")
-                size = F.size(ids)
-                before = F.when(p > 1, F.concat(F.slice(old, F.lit(1), p - 2), F.array(rank(F.get(ids, p - 2), new)))).otherwise(F.slice(old, F.lit(1), F.lit(0)))
-                after = F.when(p + 1 < size, F.concat(F.array(rank(new, F.get(ids, p + 1))), F.slice(old, p + 2, size))).otherwise(F.slice(old, F.lit(1), F.lit(0)))
-                return F.struct(F.concat(F.slice(ids, F.lit(1), p - 1), F.array(new), F.slice(ids, p + 2, size)).alias("ids"), F.concat(before, after).alias("ranks"))
+                new, before, after = F.shiftright(low, by_place), F.get(a, p - 2), F.get(a, p + 1)
+                place = low.bitwiseAND(((1 << PLACE_BITS) - 1) << RANK_BITS)
+                mine = opened(rank(new, after.bitwiseAND(low_rank)), place.bitwiseOR(new))
+                left = opened(rank(before.bitwiseAND(low_rank), new), before.bitwiseAND((1 << by_place) - 1))
+                rest = F.slice(a, p + 2, F.size(a))
+                return F.when(p > 1, F.concat(F.slice(a, F.lit(1), p - 2), F.array(left, mine), rest)).otherwise(F.concat(F.array(mine), rest))
 
-            return let(F.array_min(a["ranks"]), lambda low: F.when(low < NONE, at(low)).otherwise(a))
+            return let(F.array_min(a), at)
 
         def word(w: Column) -> Column:
-            ids = F.transform(w, lambda b: F.get(t["singles"], b))
-            pairs = F.transform(F.slice(w, F.lit(2), F.size(w)), lambda b, i: F.get(t["first"], F.get(w, i) * 256 + b))
-            first = F.struct(ids.alias("ids"), pairs.alias("ranks"))
-            return F.when(F.size(w) > 1, F.aggregate(F.sequence(F.lit(2), F.size(w)), first, merge, lambda a: a["ids"])).otherwise(ids)
+            def token(b: Column, i: Column) -> Column:
+                mine = F.get(singles, b)
+                return opened(rank(mine, F.get(singles, F.get(w, i + 1))), F.shiftleft(i.cast("bigint"), RANK_BITS).bitwiseOR(mine))
+
+            merged = F.aggregate(F.sequence(F.lit(2), F.size(w)), F.transform(w, token), merge)
+            return F.when(F.size(w) > 1, F.transform(merged, lambda x: x.bitwiseAND(low_rank).cast("int"))).otherwise(F.transform(w, lambda b: F.get(singles, b).cast("int")))
 
         return F.transform(words, word)
 
-    return let(literals, with_tables)
+    singles = [ranks[bytes([b])] for b in range(256)]
+    return let(_numbers(table.slots, "bigint"), lambda x: let(_numbers(table.shifts, "bigint"), lambda y: let(_numbers(singles, "bigint"), lambda z: with_tables(x, y, z))))
 
 
 def pieces(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -187,55 +212,126 @@ def word_finder(pattern: str) -> Callable[[str], list[str]]:
 _units = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
 
 
+@dataclass
+class Known:
+    """Words with their ids as text, their bytes and their number of ids: what both ends of every task hold."""
+
+    words: list[str]
+    texts: list[bytes]
+    parts: list[bytes]
+    sizes: np.ndarray
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+
 class Numbered(dict):
-    """Numbers keys in the order they are first asked for."""
+    """Numbers keys in the order they are first asked for, after those of ``known``; ``new`` lists the others."""
+
+    def __init__(self, known: dict[str, int] | None = None):
+        super().__init__()
+        self.known, self.new = known or {}, []
 
     def __missing__(self, key):
-        self[key] = n = len(self)
+        n = self.known.get(key)
+        if n is None:
+            n = len(self.known) + len(self.new)
+            self.new.append(key)
+        self[key] = n
         return n
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, max_words: int = 150_000, with_ids: bool = False) -> DataFrame:
+_numbers_of: dict[str, dict[str, int]] = {}
+
+
+def _numbered(known: Known) -> Numbered:
+    """Kept for the next tasks of the same worker."""
+    if known.name not in _numbers_of:
+        _numbers_of.clear()
+        _numbers_of[known.name] = {w: i for i, w in enumerate(known.words)}
+    return Numbered(_numbers_of[known.name])
+
+
+def byte_arrays(words: list[bytes]) -> pa.Array:
+    """list<int>: the bytes of each word."""
+    stops = np.cumsum([0, *map(len, words)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(stops), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int32)))
+
+
+def common_words(source: DataFrame, ranks: dict[bytes, int], pattern: str, rows: int, most: int) -> Known:
+    """The ``most`` most frequent words of about ``rows`` rows of (doc_id, text), folded."""
+    n = source.count()
+    some = source.select("text").where("text is not null").sample(min(1.0, rows / max(1, n)), 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, counts = word_finder(pattern), Counter()
+
+        def out() -> pa.RecordBatch:
+            items = list(counts.items())
+            counts.clear()
+            return pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in items], pa.string()), "n": pa.array([k for _, k in items], pa.int64())})
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                counts.update(find(text))
+                if len(counts) > most:
+                    yield out()
+        yield out()
+
+    counted = some.mapInArrow(count, "word string, n long").where(F.octet_length("word") <= LONG).groupBy("word").agg(F.sum("n").alias("n"))
+    best = hold(counted.orderBy(F.col("n").desc(), "word").limit(most).select("word"))
+
+    def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = byte_arrays([w.encode() for w in batch.column("word").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), words], ["word", "w"])
+
+    spread = best.repartition(source.sparkSession.sparkContext.defaultParallelism).mapInArrow(to_bytes, "word string, w array<int>")
+    ids = folded(F.array("w"), ranks)
+    table = spread.select("word", ids[0].alias("ids"), pieces(ids, ranks)[0].alias("bytes")).toArrow()
+    texts = [" ".join(map(str, x)).encode() for x in table["ids"].to_pylist()]
+    return Known(table["word"].to_pylist(), texts, table["bytes"].to_pylist(), np.array(pc.list_value_length(table["ids"]).to_numpy(), np.int64))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, max_words: int = 100_000, with_ids: bool = False,
+           sample_rows: int = 12_000, common: int = 200_000) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; ``with_ids`` adds ids and decoded bytes."""
     ranks = load_ranks(ranks_path)
+    if odd := [t for t, rank in ranks.items() if merge_long(t, ranks) != [rank]]:
+        raise ValueError(f"{len(odd)} tokens cannot be reached by merges")
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(common_words(source, ranks, pattern, sample_rows, common))  # at most ``common`` words
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, own = word_finder(pattern), load_ranks(ranks_path)
+        find = word_finder(pattern)
         doc_ids: list[pa.Array] = []
         rows: list[np.ndarray] = []
-        held, units, words = 0, Numbered(), Numbered()
+        held, units, words = 0, Numbered(), _numbered(shared.value)
 
         def out() -> pa.RecordBatch:
-            if len(words) > max_words:  # both ends of the task forget what it has seen
+            if len(words.new) > max_words:  # both ends of the task forget what it has seen
                 words.clear()
-            before = len(words)
-            of_unit = [[words[w] for w in find(u)] for u in units]
+                words.new.clear()
+            before = len(words.new)
+            of_unit = [[words[w] for w in find(u)] for u in units.new]
             ends = np.cumsum(np.fromiter(map(len, of_unit), np.int64, len(of_unit)))
             flat = np.fromiter((w for ws in of_unit for w in ws), np.int32, int(ends[-1]) if len(ends) else 0)
             begins = np.concatenate([[0], ends[:-1]]) if len(ends) else np.zeros(0, np.int64)
-            seqs = []
+            lens, seqs = [], []
             for r in rows:
-                size = (ends - begins)[r]
+                size = (ends - begins)[r] if len(r) else np.zeros(0, np.int64)
                 stop = np.cumsum(size)
-                seqs.append(flat[np.repeat(begins[r] - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)])
-            raw = [w.encode("utf-8") for w in islice(words, before, None)]
-            known = {before + i: own[w] for i, w in enumerate(raw) if w in own}
-            folds = [b"" if len(w) > LONG or w in own else w for w in raw]
-            stops = np.concatenate([[0], np.cumsum(np.fromiter(map(len, folds), np.int32, len(folds)))]).astype(np.int32)
-            flat_bytes = np.frombuffer(b"".join(folds), np.uint8).astype(np.int32)
-            short = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(flat_bytes, pa.int32()))
+                lens.append(int(stop[-1]) if len(stop) else 0)
+                seqs.append(flat[np.repeat(begins[r] - stop + size, size) + np.arange(lens[-1])])
+            raw = [w.encode("utf-8") for w in words.new[before:]]
             table = pa.RecordBatch.from_arrays([pa.concat_arrays(doc_ids)], ["doc_id"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as writer:
                 writer.write_batch(table)
-            lens = np.array([len(s) for s in seqs], np.int64)
-            long_words = [w if len(w) > LONG else None for w in raw]
-            columns = {"docs": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "lens": pa.array([lens.tobytes()], pa.binary()),
+            longs = [(i, w) for i, w in enumerate(raw) if len(w) > LONG]
+            short = byte_arrays([w if len(w) <= LONG else b"" for w in raw])
+            columns = {"docs": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "lens": pa.array([np.array(lens, np.int64).tobytes()], pa.binary()),
                        "seq": pa.array([np.concatenate([np.zeros(0, np.int32), *seqs]).tobytes()], pa.binary()),
-                       "long": pa.array([[(before + i, w) for i, w in enumerate(long_words) if w is not None]], pa.list_(pa.struct([("i", pa.int32()), ("w", pa.binary())]))),
-                       "before": pa.array([before], pa.int32()), "known": pa.array([np.array([*known.keys(), *known.values()], np.int32).tobytes()], pa.binary()),
+                       "long": pa.array([longs], pa.list_(pa.struct([("i", pa.int32()), ("w", pa.binary())]))), "before": pa.array([before], pa.int32()),
                        "words": pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), short)}
             return pa.RecordBatch.from_pydict(columns)
 
@@ -252,48 +348,44 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         if doc_ids:
             yield out()
 
-    packed = source.mapInArrow(chunks, "docs binary, lens binary, seq binary, long array<struct<i:int,w:binary>>, before int, known binary, words array<array<int>>")
-    coded = packed.select("docs", "lens", "seq", "long", "before", "known", folded(F.col("words"), ranks).alias("ids"))
+    packed = source.mapInArrow(chunks, "docs binary, lens binary, seq binary, long array<struct<i:int,w:binary>>, before int, words array<array<int>>")
+    coded = packed.select("docs", "lens", "seq", "long", "before", folded(F.col("words"), ranks).alias("ids"))
     coded = coded.select("*", pieces(F.col("ids"), ranks).alias("bytes"))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = load_ranks(ranks_path)
-        names = [t for t, _ in sorted(own.items(), key=lambda x: x[1])]
-        ids: list[list[int]] = []
-        parts: list[bytes] = []
-        texts: list[bytes] = []
+        known = shared.value
+        base, digits = len(known.words), [b"%d" % i for i in range(max(ranks.values()) + 1)]
+        names = {rank: t for t, rank in ranks.items()}
+        texts, parts, sizes = list(known.texts), list(known.parts), known.sizes
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 words = row.column("ids").flatten()
-                flat = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-                before = row.column("before")[0].as_py()
-                if not before:
-                    ids, parts, texts = [], [], []
-                if len(ends):
-                    ids += [flat[s:e].tolist() for s, e in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)]
+                flat = [digits[k] for k in words.flatten().to_pylist()]
+                n = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = np.cumsum(n).tolist()
+                if not row.column("before")[0].as_py():
+                    del texts[base:], parts[base:]
+                    sizes = known.sizes
+                first = len(texts)
+                texts += [b" ".join(flat[s:e]) for s, e in zip([0, *ends[:-1]], ends, strict=False)]
                 parts += row.column("bytes").flatten().to_pylist()
-                for i_, k in np.frombuffer(row.column("known")[0].as_py(), np.int32).reshape(2, -1).T.tolist():
-                    ids[i_], parts[i_] = [k], names[k]
                 for x in row.column("long")[0].as_py():
-                    ids[x["i"]] = merge_long(x["w"], own)
-                    parts[x["i"]] = b"".join(names[k] for k in ids[x["i"]])
-                texts += [" ".join(map(str, w)).encode() for w in islice(ids, before, None)]
-                sizes = np.array([len(w) for w in ids], np.int64)
+                    ids = merge_long(x["w"], ranks)
+                    texts[first + x["i"]], parts[first + x["i"]], n[x["i"]] = b" ".join(digits[k] for k in ids), b"".join(names[k] for k in ids), len(ids)
+                sizes = np.concatenate([sizes, n])
                 seq = np.frombuffer(row.column("seq")[0].as_py(), np.int32)
                 stops = np.cumsum(np.frombuffer(row.column("lens")[0].as_py(), np.int64)).tolist()
                 table = pa.ipc.open_stream(row.column("docs")[0].as_py()).read_all().combine_chunks()
                 out = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
                 for s, e in zip([0, *stops[:-1]], stops, strict=True):
-                    mine = seq[s:e]
-                    some = mine.tolist()
-                    decoded = b"".join([parts[k] for k in some])
-                    out["n_tokens"].append(int(sizes[mine].sum()))
-                    out["ids_sha256"].append(hashlib.sha256(b" ".join([texts[k] for k in some])).hexdigest())
+                    some = seq[s:e].tolist()
+                    ids_text, decoded = b" ".join([texts[k] for k in some]), b"".join([parts[k] for k in some])
+                    out["n_tokens"].append(int(sizes[seq[s:e]].sum()))
+                    out["ids_sha256"].append(hashlib.sha256(ids_text).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
                     if with_ids:
-                        out["ids"].append([x for k in some for x in ids[k]])
+                        out["ids"].append([int(x) for x in ids_text.split()])
                         out["decoded"].append(decoded)
                 kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32()), "decoded": pa.binary()} if with_ids else {})
                 column = table["doc_id"]
@@ -302,4 +394,3 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
     return coded.mapInArrow(unpack, schema)
-
