@@ -113,8 +113,8 @@ def _numbers(values: list[int], kind: str) -> Column:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+    """``body`` of a value that is computed once: the end of a fold over nothing."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, body)
 
 
 def folded(words: Column, ranks: dict[bytes, int]) -> Column:
@@ -282,13 +282,15 @@ def common_words(source: DataFrame, ranks: dict[bytes, int], pattern: str, rows:
     def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = byte_arrays([w.encode() for w in batch.column("word").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("word"), words], ["word", "w"])
-
-    spread = best.repartition(source.sparkSession.sparkContext.defaultParallelism).mapInArrow(to_bytes, "word string, w array<int>")
-    ids = folded(F.array("w"), ranks)
-    table = spread.select("word", ids[0].alias("ids"), pieces(ids, ranks)[0].alias("bytes")).toArrow()
-    texts = [" ".join(map(str, x)).encode() for x in table["ids"].to_pylist()]
-    return Known(table["word"].to_pylist(), texts, table["bytes"].to_pylist(), np.array(pc.list_value_length(table["ids"]).to_numpy(), np.int64))
+            at = pa.array([0, len(words)], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, batch.column("word")), pa.ListArray.from_arrays(at, words)], ["words", "w"])
+
+    spread = best.repartition(source.sparkSession.sparkContext.defaultParallelism).mapInArrow(to_bytes, "words array<string>, w array<array<int>>")
+    coded = spread.select("words", folded(F.col("w"), ranks).alias("ids"))
+    table = coded.select("words", "ids", pieces(F.col("ids"), ranks).alias("bytes")).toArrow()
+    words, ids, parts = (pc.list_flatten(table[c]) for c in ("words", "ids", "bytes"))
+    texts = [" ".join(map(str, x)).encode() for x in ids.to_pylist()]
+    return Known(words.to_pylist(), texts, parts.to_pylist(), np.array([t.count(b" ") + 1 for t in texts], np.int64))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, max_words: int = 100_000, with_ids: bool = False,
