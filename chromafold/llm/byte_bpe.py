@@ -25,7 +25,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -207,11 +206,6 @@ def word_finder(pattern: str) -> Callable[[str], list[str]]:
     return regex.compile(spelled).findall
 
 
-#: Runs between white space, each with the space before it, and white space as the pattern takes it; every
-#: match of the usual patterns lies inside one of these.
-_units = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
-
-
 @dataclass
 class Known:
     """Words with their ids as text, their bytes and their number of ids: what both ends of every task hold."""
@@ -307,23 +301,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         find = word_finder(pattern)
         doc_ids: list[pa.Array] = []
         rows: list[np.ndarray] = []
-        held, units, words = 0, Numbered(), _numbered(shared.value)
+        held, before, words = 0, 0, _numbered(shared.value)
 
         def out() -> pa.RecordBatch:
-            if len(words.new) > max_words:  # both ends of the task forget what it has seen
-                words.clear()
-                words.new.clear()
-            before = len(words.new)
-            of_unit = [[words[w] for w in find(u)] for u in units.new]
-            ends = np.cumsum(np.fromiter(map(len, of_unit), np.int64, len(of_unit)))
-            flat = np.fromiter((w for ws in of_unit for w in ws), np.int32, int(ends[-1]) if len(ends) else 0)
-            begins = np.concatenate([[0], ends[:-1]]) if len(ends) else np.zeros(0, np.int64)
-            lens, seqs = [], []
-            for r in rows:
-                size = (ends - begins)[r] if len(r) else np.zeros(0, np.int64)
-                stop = np.cumsum(size)
-                lens.append(int(stop[-1]) if len(stop) else 0)
-                seqs.append(flat[np.repeat(begins[r] - stop + size, size) + np.arange(lens[-1])])
             raw = [w.encode("utf-8") for w in words.new[before:]]
             table = pa.RecordBatch.from_arrays([pa.concat_arrays(doc_ids)], ["doc_id"])
             sink = pa.BufferOutputStream()
@@ -331,8 +311,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 writer.write_batch(table)
             longs = [(i, w) for i, w in enumerate(raw) if len(w) > LONG]
             short = byte_arrays([w if len(w) <= LONG else b"" for w in raw])
-            columns = {"docs": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "lens": pa.array([np.array(lens, np.int64).tobytes()], pa.binary()),
-                       "seq": pa.array([np.concatenate([np.zeros(0, np.int32), *seqs]).tobytes()], pa.binary()),
+            columns = {"docs": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "lens": pa.array([np.array([*map(len, rows)], np.int64).tobytes()], pa.binary()),
+                       "seq": pa.array([np.concatenate([np.zeros(0, np.int32), *rows]).tobytes()], pa.binary()),
                        "long": pa.array([longs], pa.list_(pa.struct([("i", pa.int32()), ("w", pa.binary())]))), "before": pa.array([before], pa.int32()),
                        "words": pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), short)}
             return pa.RecordBatch.from_pydict(columns)
@@ -341,12 +321,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             for part in slices(batch, "text", 1 << 20):
                 doc_ids.append(part.column("doc_id"))
                 for text in part.column("text").to_pylist():
-                    found = _units(text) if text else []
-                    rows.append(np.fromiter(map(units.__getitem__, found), np.int32, len(found)))
+                    found = find(text) if text else []
+                    rows.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
                     held += len(text) if text else 0
                 if held >= chunk_bytes:
                     yield out()
-                    doc_ids, rows, held, units = [], [], 0, Numbered()
+                    doc_ids, rows, held, before = [], [], 0, len(words.new)
+                    if before > max_words:  # both ends of the task forget what it has seen
+                        words.clear()
+                        words.new.clear()
+                        before = 0
         if doc_ids:
             yield out()
 
