@@ -218,30 +218,33 @@ class Known:
 
 
 class Numbered(dict):
-    """Numbers keys in the order they are first asked for, after those of ``known``; ``new`` lists the others."""
+    """Numbers the known words first and then others in the order they are first asked for; ``new`` lists the others."""
 
-    def __init__(self, known: dict[str, int] | None = None):
-        super().__init__()
-        self.known, self.new = known or {}, []
+    def __init__(self, known: list[str]):
+        super().__init__(zip(known, range(len(known)), strict=True))
+        self.new: list[str] = []
 
     def __missing__(self, key):
-        n = self.known.get(key)
-        if n is None:
-            n = len(self.known) + len(self.new)
-            self.new.append(key)
-        self[key] = n
+        self[key] = n = len(self)
+        self.new.append(key)
         return n
 
+    def forget(self) -> None:
+        for word in self.new:
+            del self[word]
+        self.new = []
 
-_numbers_of: dict[str, dict[str, int]] = {}
 
+_numbered: dict[str, Numbered] = {}
 
-def _numbered(known: Known) -> Numbered:
+
+def numbered(known: Known) -> Numbered:
     """Kept for the next tasks of the same worker."""
-    if known.name not in _numbers_of:
-        _numbers_of.clear()
-        _numbers_of[known.name] = {w: i for i, w in enumerate(known.words)}
-    return Numbered(_numbers_of[known.name])
+    if known.name not in _numbered:
+        _numbered.clear()
+        _numbered[known.name] = Numbered(known.words)
+    _numbered[known.name].forget()
+    return _numbered[known.name]
 
 
 def byte_arrays(words: list[bytes]) -> pa.Array:
@@ -288,7 +291,7 @@ def common_words(source: DataFrame, ranks: dict[bytes, int], pattern: str, rows:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, max_words: int = 100_000, with_ids: bool = False,
-           sample_rows: int = 12_000, common: int = 200_000) -> DataFrame:
+           sample_rows: int = 32_000, common: int = 400_000) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; ``with_ids`` adds ids and decoded bytes."""
     ranks = load_ranks(ranks_path)
     if odd := [t for t, rank in ranks.items() if merge_long(t, ranks) != [rank]]:
@@ -301,7 +304,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         find = word_finder(pattern)
         doc_ids: list[pa.Array] = []
         rows: list[np.ndarray] = []
-        held, before, words = 0, 0, _numbered(shared.value)
+        held, before, words = 0, 0, numbered(shared.value)
 
         def out() -> pa.RecordBatch:
             raw = [w.encode("utf-8") for w in words.new[before:]]
@@ -328,8 +331,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     yield out()
                     doc_ids, rows, held, before = [], [], 0, len(words.new)
                     if before > max_words:  # both ends of the task forget what it has seen
-                        words.clear()
-                        words.new.clear()
+                        words.forget()
                         before = 0
         if doc_ids:
             yield out()
