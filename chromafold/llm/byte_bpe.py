@@ -25,10 +25,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -206,45 +205,36 @@ def word_finder(pattern: str) -> Callable[[str], list[str]]:
     return regex.compile(spelled).findall
 
 
-@dataclass
-class Known:
-    """Words with their ids as text, their bytes and their number of ids: what both ends of every task hold."""
-
-    words: list[str]
-    texts: list[bytes]
-    parts: list[bytes]
-    sizes: np.ndarray
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
-
-
 class Numbered(dict):
-    """Numbers the known words first and then others in the order they are first asked for; ``new`` lists the others."""
+    """Numbers keys in the order they are first asked for, from ``first`` on; ``new`` lists them."""
 
-    def __init__(self, known: list[str]):
-        super().__init__(zip(known, range(len(known)), strict=True))
-        self.new: list[str] = []
+    def __init__(self, first: int):
+        super().__init__()
+        self.first, self.new = first, []
 
     def __missing__(self, key):
-        self[key] = n = len(self)
+        self[key] = n = self.first + len(self.new)
         self.new.append(key)
         return n
 
-    def forget(self) -> None:
-        for word in self.new:
-            del self[word]
-        self.new = []
+
+def spelled(ids: pa.Array, digits: pa.Array) -> pa.Array:
+    """For each list of ids their decimal forms, each with a space after it, as one value."""
+    text = digits.take(ids.flatten())
+    starts = np.frombuffer(text.buffers()[1], np.int64)[text.offset :]
+    ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
+    return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(starts[ends], np.int64)), text.buffers()[2]])
 
 
-_numbered: dict[str, Numbered] = {}
+def digits_of(ranks: dict[bytes, int]) -> pa.Array:
+    return pa.array([b"%d " % i for i in range(max(ranks.values()) + 1)], pa.large_binary())
 
 
-def numbered(known: Known) -> Numbered:
-    """Kept for the next tasks of the same worker."""
-    if known.name not in _numbered:
-        _numbered.clear()
-        _numbered[known.name] = Numbered(known.words)
-    _numbered[known.name].forget()
-    return _numbered[known.name]
+def joined(values: pa.Array, at: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of the chosen values one after another, and where each begins (one entry more)."""
+    found = values.take(at)
+    data = found.buffers()[2]
+    return memoryview(data if data is not None else b""), np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1]
 
 
 def byte_arrays(words: list[bytes]) -> pa.Array:
@@ -253,8 +243,8 @@ def byte_arrays(words: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(stops), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int32)))
 
 
-def common_words(source: DataFrame, ranks: dict[bytes, int], pattern: str, rows: int, most: int) -> Known:
-    """The ``most`` most frequent words of about ``rows`` rows of (doc_id, text), folded."""
+def common_words(source: DataFrame, ranks: dict[bytes, int], pattern: str, rows: int, most: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The ``most`` most frequent words of about ``rows`` rows of (doc_id, text), their spelled ids and their bytes."""
     n = source.count()
     some = source.select("text").where("text is not null").sample(min(1.0, rows / max(1, n)), 1)
 
@@ -269,7 +259,7 @@ def common_words(source: DataFrame, ranks: dict[bytes, int], pattern: str, rows:
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 counts.update(find(text))
-                if len(counts) > most:
+                if len(counts) > 50_000:
                     yield out()
         yield out()
 
@@ -285,9 +275,8 @@ def common_words(source: DataFrame, ranks: dict[bytes, int], pattern: str, rows:
     spread = best.repartition(source.sparkSession.sparkContext.defaultParallelism).mapInArrow(to_bytes, "words array<string>, w array<array<int>>")
     coded = spread.select("words", folded(F.col("w"), ranks).alias("ids"))
     table = coded.select("words", "ids", pieces(F.col("ids"), ranks).alias("bytes")).toArrow()
-    words, ids, parts = (pc.list_flatten(table[c]) for c in ("words", "ids", "bytes"))
-    texts = [" ".join(map(str, x)).encode() for x in ids.to_pylist()]
-    return Known(words.to_pylist(), texts, parts.to_pylist(), np.array([t.count(b" ") + 1 for t in texts], np.int64))
+    words, ids, parts = (pa.concat_arrays(pc.list_flatten(table[c]).chunks or [pa.array([], table.schema.field(c).type.value_type)]) for c in ("words", "ids", "bytes"))
+    return words.cast(pa.large_string()), spelled(ids, digits_of(ranks)), parts.cast(pa.large_binary())
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, max_words: int = 100_000, with_ids: bool = False,
@@ -298,15 +287,24 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         raise ValueError(f"{len(odd)} tokens cannot be reached by merges")
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(common_words(source, ranks, pattern, sample_rows, common))  # at most ``common`` words
+    context = docs.sparkSession.sparkContext
+    known, *coded_known = common_words(source, ranks, pattern, sample_rows, common)
+    shared_words, shared_codes = context.broadcast(known), context.broadcast(coded_known)  # at most ``common`` words
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = word_finder(pattern)
+        find, known = word_finder(pattern), shared_words.value
         doc_ids: list[pa.Array] = []
-        rows: list[np.ndarray] = []
-        held, before, words = 0, 0, numbered(shared.value)
+        matches: list[pa.Array] = []
+        lens: list[int] = []
+        held, before, words = 0, 0, Numbered(len(known))
 
         def out() -> pa.RecordBatch:
+            every = pa.concat_arrays([pa.array([], pa.large_string()), *matches])
+            at = pc.index_in(every, value_set=known)
+            other = every.filter(at.is_null()).dictionary_encode()
+            seq = at.fill_null(-1).to_numpy().copy()
+            numbers = np.fromiter(map(words.__getitem__, other.dictionary.to_pylist()), np.int32, len(other.dictionary))
+            seq[seq < 0] = numbers[other.indices.to_numpy()]
             raw = [w.encode("utf-8") for w in words.new[before:]]
             table = pa.RecordBatch.from_arrays([pa.concat_arrays(doc_ids)], ["doc_id"])
             sink = pa.BufferOutputStream()
@@ -314,8 +312,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 writer.write_batch(table)
             longs = [(i, w) for i, w in enumerate(raw) if len(w) > LONG]
             short = byte_arrays([w if len(w) <= LONG else b"" for w in raw])
-            columns = {"docs": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "lens": pa.array([np.array([*map(len, rows)], np.int64).tobytes()], pa.binary()),
-                       "seq": pa.array([np.concatenate([np.zeros(0, np.int32), *rows]).tobytes()], pa.binary()),
+            columns = {"docs": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "lens": pa.array([np.array(lens, np.int64).tobytes()], pa.binary()),
+                       "seq": pa.array([seq.tobytes()], pa.binary()),
                        "long": pa.array([longs], pa.list_(pa.struct([("i", pa.int32()), ("w", pa.binary())]))), "before": pa.array([before], pa.int32()),
                        "words": pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), short)}
             return pa.RecordBatch.from_pydict(columns)
@@ -323,16 +321,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 doc_ids.append(part.column("doc_id"))
-                for text in part.column("text").to_pylist():
-                    found = find(text) if text else []
-                    rows.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
-                    held += len(text) if text else 0
-                if held >= chunk_bytes:
+                found = [find(text) if text else [] for text in part.column("text").to_pylist()]
+                lens += map(len, found)
+                matches.append(pa.array([w for ws in found for w in ws], pa.large_string()))
+                held += matches[-1].nbytes
+                if held >= 2 * chunk_bytes:  # the matches with their offsets take about twice the text
                     yield out()
-                    doc_ids, rows, held, before = [], [], 0, len(words.new)
+                    doc_ids, matches, lens, held, before = [], [], [], 0, len(words.new)
                     if before > max_words:  # both ends of the task forget what it has seen
-                        words.forget()
-                        before = 0
+                        before, words = 0, Numbered(len(known))
         if doc_ids:
             yield out()
 
@@ -341,40 +338,37 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     coded = coded.select("*", pieces(F.col("ids"), ranks).alias("bytes"))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        base, digits = len(known.words), [b"%d" % i for i in range(max(ranks.values()) + 1)]
-        names = {rank: t for t, rank in ranks.items()}
-        texts, parts, sizes = list(known.texts), list(known.parts), known.sizes
+        known_texts, known_parts = shared_codes.value
+        digits, names = digits_of(ranks), {rank: t for t, rank in ranks.items()}
+        texts, parts = known_texts, known_parts
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 words = row.column("ids").flatten()
-                flat = [digits[k] for k in words.flatten().to_pylist()]
-                n = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                ends = np.cumsum(n).tolist()
+                new_texts, new_parts = spelled(words, digits), row.column("bytes").flatten().cast(pa.large_binary())
+                if longs := row.column("long")[0].as_py():
+                    some_texts, some_parts = new_texts.to_pylist(), new_parts.to_pylist()
+                    for x in longs:
+                        ids = merge_long(x["w"], ranks)
+                        some_texts[x["i"]], some_parts[x["i"]] = b"".join(b"%d " % k for k in ids), b"".join(names[k] for k in ids)
+                    new_texts, new_parts = pa.array(some_texts, pa.large_binary()), pa.array(some_parts, pa.large_binary())
                 if not row.column("before")[0].as_py():
-                    del texts[base:], parts[base:]
-                    sizes = known.sizes
-                first = len(texts)
-                texts += [b" ".join(flat[s:e]) for s, e in zip([0, *ends[:-1]], ends, strict=False)]
-                parts += row.column("bytes").flatten().to_pylist()
-                for x in row.column("long")[0].as_py():
-                    ids = merge_long(x["w"], ranks)
-                    texts[first + x["i"]], parts[first + x["i"]], n[x["i"]] = b" ".join(digits[k] for k in ids), b"".join(names[k] for k in ids), len(ids)
-                sizes = np.concatenate([sizes, n])
-                seq = np.frombuffer(row.column("seq")[0].as_py(), np.int32)
-                stops = np.cumsum(np.frombuffer(row.column("lens")[0].as_py(), np.int64)).tolist()
+                    texts, parts = known_texts, known_parts
+                texts, parts = pa.concat_arrays([texts, new_texts]), pa.concat_arrays([parts, new_parts])
+                at = pa.array(np.frombuffer(row.column("seq")[0].as_buffer(), np.int32))
+                stops = np.concatenate([[0], np.cumsum(np.frombuffer(row.column("lens")[0].as_py(), np.int64))])
+                (spelling, a), (decoded, b) = joined(texts, at), joined(parts, at)
+                a, b = a[stops].tolist(), b[stops].tolist()
                 table = pa.ipc.open_stream(row.column("docs")[0].as_py()).read_all().combine_chunks()
                 out = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
-                for s, e in zip([0, *stops[:-1]], stops, strict=True):
-                    some = seq[s:e].tolist()
-                    ids_text, decoded = b" ".join([texts[k] for k in some]), b"".join([parts[k] for k in some])
-                    out["n_tokens"].append(int(sizes[seq[s:e]].sum()))
-                    out["ids_sha256"].append(hashlib.sha256(ids_text).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
+                for s, e, x, y in zip(a, a[1:], b, b[1:], strict=False):
+                    mine = spelling[s : max(s, e - 1)]
+                    out["n_tokens"].append(int(np.count_nonzero(np.frombuffer(spelling[s:e], np.uint8) == 32)))
+                    out["ids_sha256"].append(hashlib.sha256(mine).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(decoded[x:y]).hexdigest())
                     if with_ids:
-                        out["ids"].append([int(x) for x in ids_text.split()])
-                        out["decoded"].append(decoded)
+                        out["ids"].append([int(k) for k in bytes(mine).split()])
+                        out["decoded"].append(bytes(decoded[x:y]))
                 kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32()), "decoded": pa.binary()} if with_ids else {})
                 column = table["doc_id"]
                 column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
