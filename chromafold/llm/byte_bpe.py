@@ -279,8 +279,8 @@ def common_words(source: DataFrame, ranks: dict[bytes, int], pattern: str, rows:
     return words.cast(pa.large_string()), spelled(ids, digits_of(ranks)), parts.cast(pa.large_binary())
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, max_words: int = 100_000, with_ids: bool = False,
-           sample_rows: int = 32_000, common: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 2 << 20, max_words: int = 100_000, with_ids: bool = False,
+           sample_rows: int = 24_000, common: int = 250_000) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; ``with_ids`` adds ids and decoded bytes."""
     ranks = load_ranks(ranks_path)
     if odd := [t for t, rank in ranks.items() if merge_long(t, ranks) != [rank]]:
@@ -328,6 +328,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 if held >= 2 * chunk_bytes:  # the matches with their offsets take about twice the text
                     yield out()
                     doc_ids, matches, lens, held, before = [], [], [], 0, len(words.new)
+                    pa.default_memory_pool().release_unused()
                     if before > max_words:  # both ends of the task forget what it has seen
                         before, words = 0, Numbered(len(known))
         if doc_ids:
@@ -354,6 +355,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     new_texts, new_parts = pa.array(some_texts, pa.large_binary()), pa.array(some_parts, pa.large_binary())
                 if not row.column("before")[0].as_py():
                     texts, parts = known_texts, known_parts
+                    pa.default_memory_pool().release_unused()
                 texts, parts = pa.concat_arrays([texts, new_texts]), pa.concat_arrays([parts, new_parts])
                 at = pa.array(np.frombuffer(row.column("seq")[0].as_buffer(), np.int32))
                 stops = np.concatenate([[0], np.cumsum(np.frombuffer(row.column("lens")[0].as_py(), np.int64))])
