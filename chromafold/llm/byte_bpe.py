@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromafold.llm.arrowtext import slices
+from chromafold.llm.columns import let
 from chromafold.llm.lineage import hold
 
 LONG = 256
@@ -110,11 +111,6 @@ def _numbers(values: list[int], kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once: the end of a fold over nothing."""
-    return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, body)
-
-
 def folded(words: Column, ranks: dict[bytes, int]) -> Column:
     """array<array<int>>: the ids of each word of an array of byte arrays."""
     table = PairTable.build(pair_ranks(ranks))

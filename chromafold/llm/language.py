@@ -4,12 +4,12 @@ A text's subwords are its byte n-grams, lower-cased, with everything but letters
 hashed to a bucket with an embedding; the mean embedding goes through a linear softmax. Both layers are
 trained by stochastic gradient descent in numpy on a bounded, stratified sample of labelled rows
 (``per_language`` texts of each language at most); a temperature is then fitted on rows kept out of the
-descent, so that scores are calibrated and ``reject_below`` can turn unsure predictions into ``und``.
+descent, so that scores are calibrated, and the score below which predictions are rejected is learnt there too.
 Because both layers are linear, prediction needs one value per bucket and language, summed over the text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without labelled rows every
-text is; null ids are carried; repeated rows get equal results; an empty table gives an empty result; other
-input columns are ignored.
+text is; of equally likely languages the first by name wins; very long texts are read whole; null ids are carried;
+repeated rows get equal results; an empty table gives an empty result; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,23 +52,28 @@ def has_letter(raw: bytes) -> bool:
 
 
 class Model:
-    """languages, table (bucket x language, embeddings times weights), bias and temperature."""
+    """languages, table (bucket x language, embeddings times weights), bias, temperature and the score to reject below."""
 
-    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float, bits: int):
-        self.languages, self.table, self.bias, self.temperature, self.bits = languages, table.astype(np.float32), bias, temperature, bits
+    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float, bits: int, threshold: float = 0.0):
+        self.languages, self.table, self.bias, self.temperature, self.bits, self.threshold = languages, table.astype(np.float32), bias, temperature, bits, threshold
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """One row per text; an empty text gets the bias."""
         sums = np.zeros((len(offsets) - 1, len(self.languages)))
         if len(data):
-            grams = subwords(data, self.bits)
-            full = np.flatnonzero(np.diff(offsets))
+            size = np.diff(offsets)
+            full = np.flatnonzero(size)
+            apart = np.full(len(data) + (max(SIZES) - 1) * len(size), 0x20, np.uint8)  # spaces after each text: none reads on into the next
+            apart[np.arange(len(data)) + np.repeat((max(SIZES) - 1) * np.arange(len(size)), size)] = data
+            begin = offsets[:-1] + (max(SIZES) - 1) * np.arange(len(size))
+            edges = np.stack([begin[full], (begin + size)[full]], 1).ravel()
+            grams = subwords(apart, self.bits)
             for c in range(len(self.languages)):
                 column = np.ascontiguousarray(self.table[:, c])
                 values = column[grams[0]]
                 for g in grams[1:]:
                     values = values + column[g]
-                sums[full, c] = np.add.reduceat(values, offsets[:-1][full], dtype=np.float64)
+                sums[full, c] = np.add.reduceat(values, edges, dtype=np.float64)[::2]
         return sums / np.maximum(1, len(SIZES) * np.diff(offsets))[:, None] + self.bias
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,8 +87,11 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], bits: int = 15, dim: int = 12, epochs: int = 6, rate: float = 0.5, spread: float = 30.0, batch: int = 32, seed: int = 7) -> Model | None:
-    """Embeddings, softmax and temperature; every tenth text (by seeded order) only calibrates."""
+def train(texts: list[str], labels: list[str], bits: int = 15, dim: int = 12, epochs: int = 6, rate: float = 0.5, spread: float = 30.0, batch: int = 32, seed: int = 7, lost: float = 0.01) -> Model | None:
+    """Embeddings, softmax, temperature and threshold; every tenth text (by seeded order) only calibrates.
+
+    The threshold rejects a share ``lost`` of the right predictions among those texts.
+    """
     languages = sorted(set(labels))
     if not languages:
         return None
@@ -129,27 +137,32 @@ def train(texts: list[str], labels: list[str], bits: int = 15, dim: int = 12, ep
         return -np.log(np.maximum(softmax(z / t)[np.arange(len(held)), y[held]], 1e-12)).mean()
 
     model.temperature = min((2.0**k for k in np.arange(-5, 5.01, 0.25)), key=loss)
+    p = softmax(z / model.temperature)
+    right = p.max(1)[p.argmax(1) == y[held]]
+    model.threshold = float(np.quantile(right, lost)) if len(right) else 0.0
     return model
 
 
 def sample(docs: DataFrame, text_col: str, label_col: str, per_language: int) -> tuple[list[str], list[str]]:
-    """Texts and labels of about ``per_language`` rows of each language, chosen by a hash of the text."""
-    known = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(label_col).count().collect()}
+    """Distinct texts and labels, about ``per_language`` of each language, chosen by a hash of the text."""
+    known = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(text_col, label_col, F.xxhash64(F.lit("sample"), text_col).alias("pick"))
+    counts = {r[0]: r[1] for r in known.select("pick", label_col).distinct().groupBy(label_col).count().collect()}
     if not counts:
         return [], []
     shares = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))))
-    chance = F.pmod(F.xxhash64(F.lit("sample"), text_col), F.lit(1_000_003)) / 1_000_003
-    rows = known.where(chance < F.element_at(shares, F.col(label_col))).select(text_col, label_col).collect()
+    chance = F.pmod("pick", F.lit(1_000_003)) / 1_000_003
+    chosen = known.where(chance < F.element_at(shares, F.col(label_col)))
+    rows = chosen.groupBy("pick", label_col).agg(F.first(text_col).alias(text_col)).select(text_col, label_col).collect()  # copies count once
     rows = sorted((r[1], r[0]) for r in rows)
     return [t for _, t in rows], [k for k, _ in rows]
 
 
 def identify(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
-             per_language: int = 500, reject_below: float = 0.0, model: Model | None = None) -> DataFrame:
+             per_language: int = 500, reject_below: float | None = None, rejected_as: str | None = UNKNOWN, model: Model | None = None) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every row; the model learns from the rows where ``learn`` holds.
 
-    ``rejected`` marks scores below ``reject_below``, whose lang_pred is then ``und``.
+    ``rejected`` marks scores below ``reject_below`` (by default the model's own threshold), whose lang_pred is then
+    ``rejected_as``, or the unsure prediction itself if that is None.
     """
     if model is None:
         rows = docs.where(learn) if learn is not None else docs
@@ -172,10 +185,13 @@ def identify(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id
                     some[i] = has_letter(data[offsets[i] : offsets[i + 1]].tobytes())
                 best, score = m.predict(data, offsets) if m is not None else (np.zeros(n, int), np.zeros(n))
                 score = np.where(some, score, 0.0)
-                sure = some & (score >= reject_below) & (m is not None)
-                names = [m.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), sure.tolist(), strict=True)]
+                least = m.threshold if m is not None and reject_below is None else reject_below or 0.0
+                known = some & (m is not None)
+                sure = known & (score >= least)
+                names = [m.languages[b] if ok or k and rejected_as is None else rejected_as if k else UNKNOWN
+                         for b, ok, k in zip(best.tolist(), sure.tolist(), known.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "lang_pred": pa.array(names, pa.string()),
-                    "score": pa.array(np.clip(score, 0, 1), pa.float64()), "rejected": pa.array(some & ~sure)})
+                    "score": pa.array(np.clip(score, 0, 1), pa.float64()), "rejected": pa.array(known & ~sure)})
 
     return source.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, rejected boolean")

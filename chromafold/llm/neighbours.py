@@ -26,10 +26,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row divided by a power of two, so that squares neither overflow nor vanish; cosines stay the same."""
+    _, exponent = np.frexp(np.abs(vectors).max(1))
+    return np.ldexp(vectors.astype(np.float64), -exponent[:, None])
+
+
 class Block:
     """Sorted projections of one block's distinct vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, projections: int = 96, width: float = 2.72, share: float = 0.73, step: float = 1.2, seed: int = 5):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, projections: int = 320, width: float = 2.0, share: float = 0.69, step: float = 1.2, seed: int = 5):
         order = np.lexsort((*vectors.T[::-1], ids))
         order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])] if len(ids) else order
         ids, vectors = ids[order], vectors[order]
@@ -38,7 +44,7 @@ class Block:
         first = np.searchsorted(same.ravel()[by], np.arange(len(at)))
         count = np.diff(np.append(first, len(by)))
         self.members = [ids[by[s : s + min(n, k + 1)]] for s, n in zip(first, count, strict=True)]
-        self.vectors = vectors[at].astype(np.float64)
+        self.vectors = scaled(vectors[at])
         self.norms = np.sqrt((self.vectors * self.vectors).sum(1))
         self.k, self.width, self.step = k, width, step
         self.least = math.ceil(share * projections)
@@ -49,7 +55,7 @@ class Block:
 
     def search(self, queries: np.ndarray, radius: float = 0.25) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query vector the verified entries and their cosines: at least its k nearest found."""
-        q = queries.astype(np.float64)
+        q = scaled(queries)
         norms = np.sqrt((q * q).sum(1))
         centre = (q / norms[:, None]) @ self.lines
         radii = [radius]
@@ -115,8 +121,7 @@ def usable(vector: Column) -> Column:
 def search(rows: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 16384, query_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row where ``queries`` holds its k nearest other rows by cosine."""
     spark = rows.sparkSession
-    asked = rows.withColumn("_asked", F.coalesce(queries, F.lit(False)))
-    base = asked.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"), F.col("_asked").alias("asked"))
+    base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asked"))
     base = base.where(F.col("id").isNotNull() & usable(F.col("v"))).select("*", F.size("v").alias("dim"))
     n, n_asked = base.agg(F.count("*"), F.count_if("asked")).first()
     blocks, groups = max(1, math.ceil(n / block_rows)), max(1, math.ceil(n_asked / query_rows))

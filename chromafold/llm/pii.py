@@ -15,11 +15,13 @@ and ignored by ``find_spans``.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chromafold.llm.columns import let, unpacked, whole_row
+from chromafold.llm.lineage import hold
+
 #: Patterns as Java runs them: possessive where backing off cannot help, and tried only where a match can
 #: start (the start of a run, or the end of the last match), so that long runs cost linear time.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -36,11 +38,6 @@ LABELERS = ("pattern", "gazetteer", "context", "variety")
 FEATURES = ("keyed", "secret_key", "quoted", "long", "very_long", "hex", "mixed", "dotted")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def running_starts(lengths: Column, block: int = 256) -> Column:
     """For each entry the sum of those before it; sums of blocks keep long arrays from costing quadratic time."""
     def add(a: Column, x: Column) -> Column:
@@ -186,7 +183,7 @@ def train(docs: DataFrame, text_col: str = "text") -> list[float] | None:
     found = docs.select(F.explode(candidates(text)).alias("c"))
     c = F.col("c")
     counted = found.select(*(v.alias(f"v_{k}") for k, v in votes(c).items()), *(f.cast("int").alias(f"f_{k}") for k, f in features(c).items()))
-    counted = counted.groupBy(*counted.columns).agg(F.count("*").alias("n"))
+    counted = hold(counted.groupBy(*counted.columns).agg(F.count("*").alias("n")))  # a few hundred rows
     names_v, names_f = [f"v_{k}" for k in LABELERS], [f"f_{k}" for k in FEATURES]
     patterns = {tuple(r[k] for k in names_v): float(r["n"]) for r in counted.groupBy(*names_v).agg(F.sum("n").alias("n")).collect()}
     if not patterns:
@@ -236,8 +233,8 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans by the first one's."""
-    text = F.coalesce(F.col("_text"), F.lit(""))
-    source = docs.withColumn("_text", F.col(text_col).cast("string"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    source = docs.select(whole_row(docs).alias("row"), F.col(text_col).cast("string").alias("text"))
     found = _spans(source, text, train(docs, text_col), threshold)
 
     def ranged(kind: str) -> Column:
@@ -253,5 +250,4 @@ def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> D
     first = F.struct(F.lit(0).alias("end"), F.lit("").alias("out"))
     cut = F.aggregate(every, first, apart, lambda a: F.concat(a["out"], F.substring(text, a["end"] + 1, F.char_length(text) - a["end"])))
     touched = F.size(F.concat(*(f"_{k}" for k in KINDS))) > 0
-    names = {text_col: F.when(touched, cut).otherwise(F.col(text_col)).alias(text_col)}
-    return found.select(*(names.get(c, F.col(f"`{c}`")) for c in docs.columns))
+    return found.select(*unpacked(found, **{text_col: F.when(touched, cut).otherwise(F.col("row").getField(text_col))}))

@@ -14,22 +14,16 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chromafold.llm.columns import let, unpacked, whole_row
 from chromafold.llm.lineage import hold
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def window_hashes(words: Column, size: int) -> Column:
     """The hash of every run of ``size`` words; empty if there are fewer."""
     def hashes(w: Column) -> Column:
@@ -101,24 +95,25 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     hit = lines.join(bad, lines.host.eqNullSafe(bad.bad_host) & (lines.h == bad.bad_h))
     lost = hit.groupBy("row").agg(F.sum("n").alias("lost"), F.count("*").alias("removed_lines"), F.collect_set("h").alias("removed"))
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    out = stats.drop("host").withColumn("total", total).drop("lines").join(lost.withColumnRenamed("row", "lost_row"), F.col("row") == F.col("lost_row"), "left")
+    out = stats.withColumn("total", total).drop("lines").join(lost.withColumnRenamed("row", "lost_row"), F.col("row") == F.col("lost_row"), "left")
     depleted = F.coalesce(F.col("lost") > max_removed * F.col("total"), F.lit(False))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~depleted).alias("kept"), F.coalesce("removed_lines", F.lit(0)).alias("removed_lines"),
-        F.coalesce("lost", F.lit(0)).cast("long").alias("removed_chars"), "text_hash", "removed")
+        F.coalesce("lost", F.lit(0)).cast("long").alias("removed_chars"), "host", "text_hash", "removed")
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The rows that pass, with their frequent lines taken out of the text and all other columns unchanged."""
     found = verdicts(docs, id_col, text_col, host_col, **limits).where("kept")
-    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first("removed").alias("_removed"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.withColumn("_of", F.xxhash64(text)).join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_hash")))
+    found = found.groupBy(F.col("doc_id").alias("of_id"), F.col("host").alias("of_host"), F.col("text_hash").alias("of_hash")).agg(F.first("removed").alias("removed"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
+    joined = rows.join(found, F.col("id").eqNullSafe(F.col("of_id")) & F.col("host").eqNullSafe(F.col("of_host")) & (F.xxhash64(text) == F.col("of_hash")))
 
     def normal(x: Column) -> Column:
         return F.xxhash64(F.trim(F.lower(F.regexp_replace(x, r"[\x20\x09\x0B-\x0D]+", " "))))
 
-    left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("_removed"), normal(x)))
-    cleaned = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    return joined.select(*(cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("removed"), normal(x)))
+    cleaned = F.when(F.col("removed").isNull(), F.col("row").getField(text_col)).otherwise(F.array_join(left, "\n"))
+    return joined.select(*unpacked(joined, **{text_col: cleaned}))

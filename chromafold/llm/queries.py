@@ -49,8 +49,8 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from the four fifths that are not held out."""
-    found = identify(table(spark, sf_dir, "documents"), learn=remainder(5) != 0)
-    return found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    found = identify(table(spark, sf_dir, "documents"), learn=remainder(5) != 0, rejected_as=None)
+    return found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
-    return verdicts(table(spark, sf_dir, "documents")).drop("text_hash", "removed")
+    return verdicts(table(spark, sf_dir, "documents")).drop("host", "text_hash", "removed")
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

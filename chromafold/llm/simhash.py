@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromafold.llm.arrowtext import slices, text_buffers
+from chromafold.llm.columns import unpacked, whole_row
 from chromafold.llm.components import components
 from chromafold.llm.lineage import hold
 
@@ -68,11 +69,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
-def verified(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
-    """Which pairs share the guaranteed number of positional bytes and differ in few enough bits."""
-    x = a ^ b
-    keep = np.flatnonzero((x.view(np.uint8).reshape(-1, BYTES) == 0).sum(1) >= BYTES - max_bits)
-    return keep[np.bitwise_count(x[keep]) <= max_bits]
+_LOW, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
+
+
+def tally(difference: np.ndarray) -> np.ndarray:
+    """How many positional bytes pairs share, from the exclusive or of their fingerprints."""
+    return BYTES - np.bitwise_count((((difference & _LOW) + _LOW) | difference) & _HIGH)
+
+
+def verified(difference: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which pairs share the guaranteed number of positional bytes and, of those, differ in few enough bits."""
+    keep = np.flatnonzero(tally(difference) >= BYTES - max_bits)
+    return keep[np.bitwise_count(difference.ravel()[keep]) <= max_bits]
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,11 +106,8 @@ def _matrix(left: np.ndarray, right: np.ndarray, max_bits: int) -> tuple[np.ndar
     found_a, found_b = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     step = max(1, (1 << 18) // max(1, len(right)))
     for at in range(0, len(left), step):
-        x = left[at : at + step, None] ^ right[None, :]
-        i, j = np.nonzero(np.bitwise_count(x) <= max_bits)
-        a, b = left[at + i], right[j]
-        ok = verified(a, b, max_bits)
-        found_a, found_b = forest(np.concatenate([found_a, a[ok]]), np.concatenate([found_b, b[ok]]))
+        i, j = np.divmod(verified(left[at : at + step, None] ^ right[None, :], max_bits), len(right))
+        found_a, found_b = forest(np.concatenate([found_a, left[at + i]]), np.concatenate([found_b, right[j]]))
     return found_a, found_b
 
 
@@ -119,7 +124,7 @@ def _lists(fps: np.ndarray, begin: np.ndarray, end: np.ndarray, max_bits: int) -
     for d in range(1, int(size[short].max()) if short.any() else 0):
         rows, last = rows[rows + d < last], last[rows + d < last]
         a, b = fps[rows], fps[rows + d]
-        ok = verified(a, b, max_bits)
+        ok = verified(a ^ b, max_bits)
         out_a.append(a[ok])
         out_b.append(b[ok])
     for s, e in zip(begin[~short].tolist(), end[~short].tolist(), strict=True):
@@ -238,13 +243,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def kept_rows(docs: DataFrame, classed: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name a class in ``classed`` (of, name), given ``docs`` with the key _at."""
+    """The rows of ``docs`` that name a class in ``classed`` (of, name), given the table (at, text) of keys and texts."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(text).alias("h"))
-    rows = docs.withColumn("_at", key)
-    kept = classed(rows).select(F.col("name").alias("_name")).distinct()
-    rows = rows.join(kept, F.col("_at") == F.col("_name"), "left_semi").dropDuplicates(["_at"])  # one shuffle of the texts
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = classed(docs.select(key.alias("at"), F.col(text_col).alias("text"))).select("name").distinct()
+    rows = docs.select(whole_row(docs).alias("row"), key.alias("at"))
+    rows = rows.join(kept, F.col("at") == F.col("name"), "left_semi").dropDuplicates(["at"])  # one shuffle of the texts
+    return rows.select(*unpacked(rows))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -252,4 +257,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows without an id never stand for a class that has one; of rows that share id and text, any one stays.
     """
-    return kept_rows(docs, lambda keyed: classes(hold(fingerprints(keyed, "_at", text_col, shingle)), max_bits), id_col, text_col)
+    return kept_rows(docs, lambda keyed: classes(hold(fingerprints(keyed, "at", "text", shingle)), max_bits), id_col, text_col)

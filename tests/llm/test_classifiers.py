@@ -36,6 +36,36 @@ def test_language_edge_cases(spark):
     assert identify(df.limit(0)).collect() == []
 
 
+def test_scores_match_sums_over_single_subwords():
+    rnd = random.Random(5)
+    texts = ["", "a", "ab", "Été 12!", "x" * 700, *("".join(rnd.choice("abc ÉÖ1") for _ in range(rnd.randint(0, 30))) for _ in range(40))]
+    model = train(["le chat noir", "the black cat", "die katze"] * 20, ["fr", "en", "de"] * 20)
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    for row, r in zip(model.logits(data, offsets), raw, strict=True):
+        fold = [b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in r.lower()] + [0x20] * 3
+        total = np.zeros(3)
+        for size in (2, 3, 4):
+            for i in range(len(r)):
+                key = 0
+                for b in fold[i : i + size]:
+                    key = key << 8 | b
+                key = key * 0x9E3779B1 & 0xFFFFFFFF
+                key = (key ^ key >> 15) * (0x85EBCA6B + 2 * size) & 0xFFFFFFFF
+                total += model.table[key >> 32 - model.bits]
+        assert np.allclose(row, total / max(1, 3 * len(r)) + model.bias, atol=1e-5)
+
+
+def test_unsure_predictions_are_rejected(spark):
+    rnd = random.Random(2)
+    word = lambda s: "".join(rnd.choice(s) for _ in range(5))
+    rows = [(i, " ".join(word("abcd" if i % 2 else "wxyz") for _ in range(8)), "l" if i % 2 else "r") for i in range(400)]
+    rows += [(1000 + i, " ".join(word("klmn") for _ in range(8)), None) for i in range(20)]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rejected_as=None).collect()}
+    assert sum(got[i].rejected for i in range(400)) < 20 and sum(got[1000 + i].rejected for i in range(20)) > 15
+    assert all(got[i].lang_pred in "lr" for i in got)
+
+
 def test_calibration_lowers_the_loss_of_overconfident_scores():
     rnd = random.Random(0)
     texts = ["".join(rnd.choice("abcd" if i % 2 else "abce") for _ in range(12)) for i in range(400)]

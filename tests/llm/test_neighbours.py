@@ -71,6 +71,19 @@ def test_edge_cases_match_brute_force(spark, block_rows, query_rows):
     assert search(df.limit(0), F.lit(True)).collect() == []
 
 
+def test_most_rows_are_never_verified(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    ids, vectors = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    seen = [len(found) for found, _ in Block(ids, vectors, 5).search(vectors[ids % 50 == 0])]
+    assert np.median(seen) < 0.2 * len(rows)
+
+
+def test_components_of_any_size(spark):
+    rows = [(0, [1e300, 1e300]), (1, [1e-300, 2e-300]), (2, [1.0, 1.0 + 1e-12]), (3, [-1.0, 0.0])]
+    got = [(r.vec_id, round(r.score, 9)) for r in sorted(search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect(), key=lambda r: r["rank"])]
+    assert got == [(2, 1.0), (1, round(3 / 10**0.5, 9)), (3, round(-(0.5**0.5), 9))]
+
+
 def test_widest_windows_fall_back_to_all_rows():
     block = Block(np.arange(3), np.array([[1, 0], [0, 1], [-1, 0]], np.float32), k=5)
     assert [(i, round(c, 6)) for _, i, c in block.nearest(np.array([7]), np.array([[1, 0.0]], np.float32))] == [(0, 1.0), (1, 0.0), (2, -1.0)]
