@@ -8,7 +8,8 @@ that score positive are the text, so that a notice inside an article does not en
 
 Defined cases: null, empty and tag-only pages give an empty text; unclosed elements end with their parent or
 the page; a tag that is cut off at the end is dropped; repeated rows get equal results; null ids and urls are
-carried; an empty table gives an empty result; other input columns are ignored.
+carried; very long pages and attribute values are read whole; an empty table gives an empty result; other input
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "textarea", "select", "option", "datalist"}
+SILENT = {"script", "style", "iframe", "canvas", "audio", "video", "textarea", "select", "option", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small",
           "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "label"}
@@ -48,6 +49,8 @@ HINTS = {
 }
 HINT = {w: k for k, ws in HINTS.items() for w in ws.split()}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A tag to its end: quoted values may hold any character; a quote that never closes is an ordinary one.
+_TAG = re.compile(r"""<[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+>""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -86,17 +89,11 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             end = page.find("-->", i + 4)
             at = n if end < 0 else end + 3
             continue
-        end = page.find(">", i)
+        tag = _TAG.match(page, i) if head not in "!?" else None
+        end = tag.end() - 1 if tag else page.find(">", i)
         if end < 0:
             return
         body = page[i + 1 : end]
-        if '"' in body or "'" in body:
-            for quote in "\"'":
-                if body.count(quote) % 2 and re.search(rf"=\s*{quote}[^{quote}]*$", body):
-                    close = page.find(quote, end)
-                    later = page.find(">", close) if close >= 0 else -1
-                    if 0 <= later < end + 10_000:  # a ">" inside a quoted value
-                        end, body = later, page[i + 1 : later]
         at = end + 1
         if head in "!?":
             continue
@@ -175,15 +172,27 @@ def _page(page: str) -> list[tuple[str, str, frozenset[str]]]:
     return found
 
 
+def region(scores: list[float]) -> tuple[int, int]:
+    """(first, last + 1) of the contiguous run with the largest positive sum, the earliest of equal ones; (0, 0) if there is none."""
+    best = total = 0.0
+    start, span = 0, (0, 0)
+    for i, score in enumerate(scores):
+        if total <= 0:
+            total, start = 0.0, i
+        total += score
+        if total > best:
+            best, span = total, (start, i + 1)
+    return span
+
+
 def extract(page: str | None, scorer: Scorer) -> str:
     """The text of the best region."""
     if not page:
         return ""
     seen: dict[frozenset[str], float] = {}
     units: list[tuple[str, str, float]] = []
-    best = total = 0.0
-    start, span = 0, (0, 0)
-    for i, (tag, text, marks) in enumerate(_page(page)):
+    scores: list[float] = []
+    for tag, text, marks in _page(page):
         if text:
             weight = seen.get(marks)
             if weight is None:
@@ -193,13 +202,10 @@ def extract(page: str | None, scorer: Scorer) -> str:
         else:
             weight = score = scorer.tags.get(tag, scorer.tags[""])
         units.append((tag, text, weight))
-        if total <= 0:
-            total, start = 0.0, i
-        total += score
-        if total > best:
-            best, span = total, (start, i + 1)
+        scores.append(score)
+    begin, end = region(scores)
     out = []
-    for tag, text, weight in units[span[0] : span[1]]:
+    for tag, text, weight in units[begin:end]:
         if text:
             if weight > 0:
                 out.append(text)

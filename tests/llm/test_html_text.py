@@ -1,9 +1,10 @@
 import html
+import random
 import re
 
 import pytest
 
-from chromafold.llm.html_text import extract, labelled_pages, main_text, train
+from chromafold.llm.html_text import extract, labelled_pages, main_text, region, train
 from chromafold.llm.queries import op3_html
 
 SF = "/root/testdata/sf0.01"
@@ -59,3 +60,26 @@ def test_null_columns_and_empty_table(spark):
     df = spark.createDataFrame([(None, None, None, 1), (1, "u", "<article>hi</article>", 2), (1, "u", "<article>hi</article>", 2)], "page_id long, url string, html string, text int")
     assert sorted(((r.page_id, r.text, r.n_chars) for r in main_text(df).collect()), key=str) == [(1, "hi", 2), (1, "hi", 2), (None, "", 0)]
     assert main_text(df.limit(0)).collect() == []
+
+
+def test_region_is_the_best_of_all():
+    rnd = random.Random(8)
+    for _ in range(300):
+        scores = [rnd.choice([-3.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]) for _ in range(rnd.randint(0, 25))]
+        s, e = region(scores)
+        best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0.0)
+        assert abs(sum(scores[s:e]) - max(best, 0.0)) < 1e-9
+
+
+def test_the_scan_leaves_out_words_that_stand_apart(scorer):
+    body = "<p>This is the long story of the day, told in a good number of plain words.</p>" * 3
+    apart = "<div></div>" * 200
+    page = f"<body><div>{body}</div>{apart}<div><p>Stray words</p></div></body>"
+    near = f"<body><div>{body}</div><div><p>Stray words</p></div></body>"
+    assert extract(near, scorer).endswith("Stray words") and "Stray" not in extract(page, scorer)
+
+
+def test_quoted_values_of_any_length_and_formulas(scorer):
+    long = "x > <p>y</p> " * 5000
+    assert extract(f"<article data-a=\"{long}\" class='>'><p>Only this, <math><mi>a</mi><mo>+</mo><mi>b</mi></math> that.</p><noscript>And this.</noscript></article>", scorer) == "Only this, a + b that. And this."
+    assert extract("<article><p title=\"never closed>Words here</p></article>", scorer) == "Words here"
