@@ -61,9 +61,10 @@ def estimation_half(words: Column, rate: int) -> Column:
 
     The choice depends on the content alone, so equal lines fall on one side.
     """
-    if rate < 1:
-        raise ValueError("rate must be at least 1")
-    return F.xxhash64(F.array_join(words, "\x1f")).bitwiseAND((1 << rate) - 1) == 0
+    if not 1 <= rate <= 32:
+        raise ValueError("rate must be from 1 to 32")
+    digits = F.substring(F.md5(F.array_join(words, "\x1f").cast("binary")), 1, 8)
+    return F.conv(digits, 16, 10).cast("long").bitwiseAND((1 << rate) - 1) == 0
 
 
 def information_term(n: Column, count: Column, negatives: Column, p_negative: Column) -> Column:

@@ -6,10 +6,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PolynomialExpansion, VectorIndexer
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromafold.functions.features import positive
+from chromafold.operators.ordered import running
 
 
 def vectors(encoded: DataFrame, width: int) -> DataFrame:
@@ -55,8 +56,7 @@ def metrics(scored: DataFrame) -> DataFrame:
     plain = scored.agg(F.count("*").alias("n"), F.avg(((F.col("p") >= 0.5) == (F.col("label") > 0)).cast("double")).alias("accuracy"), F.avg(loss).alias("logloss"))
     y = positive(F.col("label"))
     counts = scored.groupBy("p").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    below = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = counts.select("pos", "neg", F.coalesce(F.sum("neg").over(below), F.lit(0)).alias("less"))
+    pairs = running(counts, [F.col("p")], less=F.col("neg"))
     area = pairs.agg(F.try_divide(F.sum(F.col("pos") * (F.col("less") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
     return plain.join(F.broadcast(area))  # one row each
 

@@ -8,6 +8,7 @@ top-k merges them. Equal shares are merged before that, as a split never pays in
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -72,14 +73,19 @@ class Intervals:
 
     def greedy(self, most: int) -> list[tuple[float, int]]:
         """(gain, position) of up to ``most`` splits in the order taken."""
-        open_ = [b for b in [self.best(0, len(self.c) - 1)] if b]
+        open_: list[tuple[float, int, int, int]] = []
         out: list[tuple[float, int]] = []
+
+        def push(lo: int, hi: int) -> None:
+            if found := self.best(lo, hi):
+                heapq.heappush(open_, tuple(-x for x in found))
+
+        push(0, len(self.c) - 1)
         while open_ and len(out) < most:
-            now = max(open_)
-            open_.remove(now)
-            gain, at, lo, hi = now
+            gain, at, lo, hi = (-x for x in heapq.heappop(open_))
             out.append((gain, at))
-            open_ += [b for b in (self.best(lo, at), self.best(at, hi)) if b]
+            push(lo, at)
+            push(at, hi)
         return out
 
     def marginal(self, splits: list[int]) -> list[tuple[float, int]]:

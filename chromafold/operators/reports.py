@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chromafold.operators.ordered import running
+
 
 def grid(first: DataFrame, *others: DataFrame) -> DataFrame:
     """All combinations of small parameter tables (each at most a few dozen rows)."""
@@ -23,21 +25,16 @@ def best_by(results: DataFrame, rows: list[str], column: str, value: str, column
 
 
 def chronological_split(df: DataFrame, order: list[Column], first: int) -> DataFrame:
-    """``df`` with ``part``: train for the first rows in a total order, valid for the rest.
-
-    The cut is the row at position ``first``, found by a bounded sort; the rest is a filter.
-    """
-    at = df.orderBy(*order).limit(first + 1)
-    key = F.struct(*order)
-    cut = at.agg(F.count("*").alias("_n"), F.max(key).alias("_cut"))
-    joined = df.join(F.broadcast(cut))  # one row
-    return joined.withColumn("part", F.when((F.col("_n") <= first) | (key < F.col("_cut")), "train").otherwise("valid")).drop("_n", "_cut")
+    """``df`` with ``part``: train for the first rows in a total order, valid for the rest."""
+    ranked = running(df, order, _rank=F.lit(1))
+    return ranked.withColumn("part", F.when(F.col("_rank") < first, "train").otherwise("valid")).drop("_rank")
 
 
 def positional_split(df: DataFrame, order: list[Column], share: float) -> DataFrame:
     """``df`` with ``part``: train for the first ``share`` of the rows in a total order."""
-    ranked = df.withColumn("_rank", F.percent_rank().over(Window.orderBy(*order)))
-    return ranked.withColumn("part", F.when(F.col("_rank") < share, "train").otherwise("valid")).drop("_rank")
+    ranked = running(df, order, _rank=F.lit(1)).join(F.broadcast(df.agg((F.count("*") - 1).alias("_last"))))  # one row
+    position = F.coalesce(F.try_divide("_rank", "_last"), F.lit(0.0))
+    return ranked.withColumn("part", F.when(position < share, "train").otherwise("valid")).drop("_rank", "_last")
 
 
 def times(preparation: DataFrame, training: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,31 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromafold.functions.features import number
+from chromafold.operators.ordered import running
 from chromafold.sources.lineage import hold
 from chromafold.sources.readers import Examples
 
+WINDOW_ROWS = 200_000  # tables of at most so many rows are numbered in one partition
 #: The points of the quantile report, in thousandths of a percent.
 QUANTILES = (0, 25_000, 50_000, 75_000, 90_000, 95_000, 99_000, 99_900, 99_990, 99_999, 100_000)
 
 
-def ordinal(df: DataFrame, order: list[Column], name: str, spread: bool = False) -> DataFrame:
-    """``df`` with a 0-based number in the given total order.
+def ordinal(df: DataFrame, order: list[Column], name: str, spread: bool | None = None) -> DataFrame:
+    """``df`` with a 0-based number in the given total order, the same either way.
 
-    The plain form sorts in one partition and is for tables of a vocabulary's size. ``spread`` sorts by range
-    over all partitions and adds the sizes of those before; only one number per partition reaches the driver.
+    A table of at most WINDOW_ROWS rows (counted unless ``spread`` says so) is sorted in one partition, a larger
+    one by range over all partitions.
     """
+    if spread is None:
+        df = hold(df)
+        spread = df.count() > WINDOW_ROWS
     if not spread:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = hold(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
-    before, total = [], 0
-    for r in sorted(placed.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("at")).collect()):
-        before += [F.lit(r["_part"]), F.lit(total - r["at"])]
-        total += r["n"]
-    if not total:
-        return placed.drop("_part", "_at").withColumn(name, F.lit(0))
-    return placed.withColumn(name, (F.col("_at") + F.element_at(F.create_map(*before), F.col("_part"))).cast("int")).drop("_part", "_at")
+    return running(df, order, **{name: F.lit(1)}).withColumn(name, F.col(name).cast("int"))
 
 
 def cardinality(data: Examples) -> DataFrame:
@@ -45,7 +41,7 @@ def word_counts(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("col", "key").agg(F.count("*").alias("cnt"))
 
 
-def fit_vocab(data: Examples, dense_fraction: float = 0.1, freq_cutoff: int = 0, spread: bool = False) -> DataFrame:
+def fit_vocab(data: Examples, dense_fraction: float = 0.1, freq_cutoff: int = 0, spread: bool | None = None) -> DataFrame:
     """(key, cnt, dense, fid) of sparse text: ids by falling count, then key; sparse features first.
 
     A feature is dense from ``floor(lines * dense_fraction)`` occurrences on; a fraction above 1 turns that off.
@@ -57,7 +53,7 @@ def fit_vocab(data: Examples, dense_fraction: float = 0.1, freq_cutoff: int = 0,
     return ordinal(split, [F.col("dense"), F.col("cnt").desc(), F.col("key")], "fid", spread)
 
 
-def fit_table_vocab(data: Examples, spread: bool = False) -> DataFrame:
+def fit_table_vocab(data: Examples, spread: bool | None = None) -> DataFrame:
     """(col, key, cnt, fid) of categorical columns: ids over all columns by falling count, column, key."""
     return ordinal(word_counts(data.tokens), [F.col("cnt").desc(), F.col("col").desc(), F.col("key").desc()], "fid", spread)
 
@@ -101,7 +97,7 @@ def quantiles(df: DataFrame, column: str) -> DataFrame:
     Equal values are counted first, so the running total goes over the distinct values only.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    upto = counts.withColumn("hi", F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
+    upto = running(counts, [F.col("value")], hi=F.col("n")).withColumn("hi", F.col("hi") + F.col("n"))
     total = F.broadcast(counts.agg(F.sum("n").alias("total")))
     points = F.array(*map(F.lit, QUANTILES))
     rank = F.floor(F.col("point") * (F.col("total") - 1) / 100_000)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from chromafold.functions import features as fx
 from chromafold.operators import coloring, diagnostics, encoders, graph, learners, quantizer, reports, vocab
 from chromafold.plans import fixtures as fix
+from chromafold.plans import run
 from chromafold.plans.pipeline import Encoder
 from chromafold.sources import readers, writers
 from chromafold.sources.lineage import hold
@@ -377,18 +378,18 @@ def encode_with_dense(spark, sf_dir):
 
 NULLS = f"""{SKETCH}, tot AS (SELECT sum(CASE WHEN target > 0 THEN 1 ELSE 0 END) AS p, sum(CASE WHEN target > 0 THEN 0 ELSE 1 END) AS n FROM lines),
 items AS (SELECT color, fid, pos, neg FROM sketch UNION ALL SELECT color, -1 - color, p - sum(pos), n - sum(neg) FROM sketch, tot GROUP BY color, p, n HAVING p + n > sum(pos) + sum(neg))"""
-SPARSE = fix.TABULAR.replace("FROM tokens JOIN vocab USING (col, key))", "FROM tokens JOIN vocab USING (col, key) WHERE fid % 4 > 0)")
+SPARSE = fix.TABULAR.replace("FROM tokens JOIN vocab USING (col, key))", "FROM tokens JOIN vocab USING (col, key) WHERE key <> '4-NOT SPECIFIED')")
 
 
-def thinned(spark, sf_dir):
-    """The tabular features without every fourth one, so that colors have nulls."""
+def with_missing(spark, sf_dir):
+    """The tabular features; a priority that is not specified is missing, so that its color has a null."""
     data, words, colors, found = tabular_parts(spark, sf_dir)
-    return data, colors, found.where(F.col("fid") % 4 > 0)
+    return data, colors, found.join(words.where("key <> '4-NOT SPECIFIED'").select("fid"), "fid", "left_semi")
 
 
 @query(f"WITH {SPARSE}, {NULLS} SELECT color, fid, CAST(pos AS BIGINT) AS pos, CAST(neg AS BIGINT) AS neg FROM items")
 def mi_null_features(spark, sf_dir):
-    data, colors, found = thinned(spark, sf_dir)
+    data, colors, found = with_missing(spark, sf_dir)
     return quantizer.with_nulls(encoders.class_sketch(found, data.lines), colors, encoders.class_totals(data.lines))
 
 
@@ -410,7 +411,7 @@ x AS (SELECT color, fid, CAST(cum_cnt AS DOUBLE) AS c, CAST(cum_neg AS DOUBLE) A
       CAST(max(cum_neg) OVER (PARTITION BY color) AS DOUBLE) AS a, (SELECT CAST(n AS DOUBLE) / (p + n) FROM tot) AS sh FROM cum)
 SELECT color, fid, round(greatest({_term('c', 'g')} + {_term('(m - c)', '(a - g)')} - {_term('m', 'a')}, 0), 6) + 0 AS gain FROM x WHERE c < m""")
 def mi_first_split_gain(spark, sf_dir):
-    data, _, _ = thinned(spark, sf_dir)
+    data, _, _ = with_missing(spark, sf_dir)
     found = quantizer.first_gains(mi_null_features(spark, sf_dir), encoders.class_totals(data.lines))
     return found.select("color", "fid", (r6("gain") + 0).alias("gain"))
 
@@ -483,6 +484,59 @@ def positive_share_quantiles(spark, sf_dir):
     return vocab.quantiles(share, "v").select("point", r6("value").alias("value"))
 
 
+def _quantiles(source: str) -> str:
+    return f"""s AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM ({source})), p(point) AS (VALUES {QUANTILE_SQL})
+SELECT point, CAST(v AS BIGINT) AS value FROM p JOIN s ON i = CAST(floor(point * (n - 1) / 100000.0) AS BIGINT)"""
+
+
+@query(f"WITH {fix.BASKET}, {_quantiles('SELECT freq AS v FROM edges')}")
+def edge_frequency_quantiles(spark, sf_dir):
+    return vocab.quantiles(basket_edges(spark, sf_dir)[2], "freq").select("point", F.col("value").cast("long").alias("value"))
+
+
+@query(f"WITH {fix.TABULAR}, {_quantiles('SELECT count(*) AS v FROM features GROUP BY fid')}")
+def feature_count_quantiles(spark, sf_dir):
+    data, _, _, found = tabular_parts(spark, sf_dir)
+    return vocab.quantiles(encoders.mean_sketch(found, data.lines), "cnt").select("point", F.col("value").cast("long").alias("value"))
+
+
+@query(f"WITH {fix.TABULAR}, {SKETCH}, {_quantiles('SELECT pos + neg AS v FROM sketch')}")
+def class_count_quantiles(spark, sf_dir):
+    both = posneg_sketch(spark, sf_dir).select((F.col("pos") + F.col("neg")).alias("v"))
+    return vocab.quantiles(both, "v").select("point", F.col("value").cast("long").alias("value"))
+
+
+@query(f"""WITH {fix.TABULAR}, {CODED.format(where="")}, d AS (SELECT * FROM e UNION ALL SELECT ex_id, 3, c_acctbal FROM source UNION ALL SELECT ex_id, 4, o_totalprice FROM source)
+SELECT l.ex_id, target, coalesce({SHOW}, '') AS encoded FROM lines l LEFT JOIN (SELECT * FROM d WHERE val <> 0) USING (ex_id) GROUP BY 1, 2""")
+def encode_tabular_dense(spark, sf_dir):
+    """The estimator on tabular data two columns of which are numbers."""
+    dense = ["c_acctbal", "o_totalprice"]
+    data = readers.from_columns(fix.tabular_rows(spark, sf_dir), "o_orderkey", F.col("o_orderstatus") == "F", [*fix.TABULAR_COLUMNS, *dense])
+    return shown(Encoder("id", 20, dense_columns=dense).fit(data, tabular=True).transform(data))
+
+
+@query(f"""WITH {fix.BASKET} SELECT 'ft' AS kind, CAST(b AS INTEGER) AS budget, CAST(b AS BIGINT) AS width, count(fid) AS entries
+FROM (VALUES (10), (100), (1000)) g(b) LEFT JOIN features ON fid < b GROUP BY b""")
+def encoding_grid(spark, sf_dir):
+    return run.encoding_grid(fix.basket(spark, sf_dir), ["ft"], [10, 100, 1000], dense_fraction=2)
+
+
+@query(f"""WITH {fix.BASKET}, {DEGREES} SELECT (SELECT count(*) FROM lines) AS nlines, (SELECT count(*) FROM basket) AS nwords, (SELECT count(*) FROM vocab) AS nfeatures,
+(SELECT max(n) FROM (SELECT count(*) AS n FROM features GROUP BY ex_id)) AS max_nnz, (SELECT count(*) FROM features) // (SELECT count(*) FROM lines) AS avg_nnz,
+(SELECT max(degree) FROM degrees) AS max_degree, 32 AS ncolors""")
+def dataset_summary(spark, sf_dir):
+    data, words, edges = basket_edges(spark, sf_dir)
+    found = run.summary(data, words, edges, words.select("fid", (F.col("fid") % 32).alias("color")))
+    return found.select("nlines", "nwords", "nfeatures", "max_nnz", "avg_nnz", "max_degree", F.col("ncolors").cast("int").alias("ncolors"))
+
+
+@query(f"""WITH {fix.BASKET}, c AS (SELECT ex_id, fid % 32 AS color FROM features GROUP BY ex_id, fid % 32 HAVING count(DISTINCT fid) > 1) SELECT ex_id, CAST(color AS INTEGER) AS color FROM c""")
+def color_conflicts(spark, sf_dir):
+    """Lines on which an arbitrary coloring is not valid."""
+    data, words = basket_parts(spark, sf_dir)
+    return diagnostics.color_violations(vocab.line_features(data, words), words.select("fid", (F.col("fid") % 32).alias("color"))).select("ex_id", F.col("color").cast("int").alias("color"))
+
+
 # Scalar preparation, splits and reports
 
 
@@ -508,9 +562,9 @@ def column_minima(spark, sf_dir):
     return low.select("name", (F.col("low") + 0).alias("low"))  # no negative zero
 
 
-@query("SELECT l_quantity AS value, count(*) AS n FROM lineitem WHERE l_quantity <= 10 GROUP BY 1")
+@query("SELECT l_quantity AS value, count(*) AS n FROM lineitem GROUP BY 1")
 def value_histogram(spark, sf_dir):
-    return fix.table(spark, sf_dir, "lineitem").where("l_quantity <= 10").groupBy(F.col("l_quantity").alias("value")).agg(F.count("*").alias("n"))
+    return fix.table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").alias("value")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {fix.TABULAR} SELECT CAST(CASE WHEN target > 0 THEN 1 ELSE -1 END AS INTEGER) AS label, count(*) AS n FROM lines GROUP BY 1")
@@ -531,7 +585,8 @@ def positional_split(spark, sf_dir):
     return reports.positional_split(fix.table(spark, sf_dir, "events").select("event_id", "ts"), [F.col("ts"), F.col("event_id")], 0.7).select("event_id", "part")
 
 
-@query()
+@query("""SELECT ex_id, substr(md5(array_to_string(list_sort(list(key)), chr(31))), 8, 1) IN ('0', '4', '8', 'c') AS estimation
+FROM (SELECT l_orderkey AS ex_id, CAST(l_partkey AS VARCHAR) AS key FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY ex_id""")
 def content_split(spark, sf_dir):
     """Lines whose content hash puts them into the estimation quarter."""
     words = fix.basket(spark, sf_dir).tokens.groupBy("ex_id").agg(F.sort_array(F.collect_list("key")).alias("w"))
@@ -561,11 +616,11 @@ def result_pivot_best(spark, sf_dir):
 
 
 @query("""SELECT g.p_brand, g.p_type FROM (SELECT * FROM (SELECT DISTINCT p_brand FROM part), (SELECT DISTINCT p_type FROM part)) g
-WHERE NOT EXISTS (SELECT 1 FROM part d WHERE d.p_size > 25 AND d.p_brand = g.p_brand AND d.p_type = g.p_type)""")
+WHERE NOT EXISTS (SELECT 1 FROM part d WHERE d.p_size > 48 AND d.p_brand = g.p_brand AND d.p_type = g.p_type)""")
 def finished_run_anti_join(spark, sf_dir):
     part = fix.table(spark, sf_dir, "part")
     cells = reports.grid(part.select("p_brand").distinct(), part.select("p_type").distinct())
-    return readers.finished_runs(cells, part.where("p_size > 25"), ["p_brand", "p_type"])
+    return readers.finished_runs(cells, part.where("p_size > 48"), ["p_brand", "p_type"])
 
 
 @query("SELECT p_brand, p_size, round(avg(p_retailprice), 6) AS mean, min(p_retailprice) AS low, max(p_retailprice) AS high, count(*) AS n FROM part GROUP BY 1, 2")
@@ -620,5 +675,5 @@ def _learnt(name: str, **options):
     return run
 
 
-for _name, _options in (("lr", {}), ("lr", {"quadratic": True}), ("gbt", {"categories": 4}), ("fm", {})):
+for _name, _options in (("lr", {}), ("lr", {"quadratic": True}), ("gbt", {}), ("gbt", {"categories": 4}), ("fm", {})):
     query()(_learnt(_name, **_options))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromafold.functions.features import estimation_half
+from chromafold.functions.features import estimation_half, number
 from chromafold.operators import coloring, encoders, graph, quantizer, vocab
 from chromafold.sources.lineage import hold
 from chromafold.sources.readers import Examples
@@ -24,6 +24,7 @@ class EncoderModel:
     dictionary: encoders.Dictionary
     held_for_estimation: DataFrame | None
     ndense: int
+    dense_columns: tuple[str, ...] = ()
 
     def transform(self, data: Examples, train: bool = False) -> DataFrame:
         """(ex_id, target, features). ``train`` leaves out the lines that a split kept for estimation."""
@@ -32,7 +33,10 @@ class EncoderModel:
             lines = lines.join(self.held_for_estimation, "ex_id", "left_anti")
         features = vocab.line_features(data, self.vocabulary)
         dense = None
-        if self.ndense:
+        if self.dense_columns:
+            place = F.array_position(F.array(*map(F.lit, self.dense_columns)), F.col("col")).cast("int") - 1
+            dense = data.tokens.where(F.col("col").isin(*self.dense_columns)).select("ex_id", place.alias("d"), F.coalesce(number(F.col("value"), True), F.lit(0.0)).alias("val"))
+        elif self.ndense:
             nsparse = self.vocabulary.where("not dense").agg(F.count("*").alias("_n"))
             dense = vocab.dense_values(data, self.vocabulary).join(F.broadcast(nsparse)).select("ex_id", (F.col("fid") - F.col("_n")).alias("d"), "val")
         return encoders.encode(features, lines, self.dictionary, dense)
@@ -46,15 +50,17 @@ class Encoder:
 
     ``kind``: te (mean target), ft (frequent features), faft (the same inside colors), id (all inside colors),
     sm and ss (mutual information, estimated on a content-hashed part of the lines), sn and ns (on all lines).
-    Tabular data (tokens with a column) is colored by column, other data by its co-occurrence graph.
+    Tabular data (tokens with a column) is colored by column, other data by its co-occurrence graph; its
+    ``dense_columns`` are numbers (empty: zero) that pass through as the last columns, in the order given.
     """
 
     def __init__(self, kind: str, budget: int, dense_fraction: float = 0.1, freq_cutoff: int = 0, split_rate: int = 1, split: Column | None = None,
-                 budget_slack: int = 0, driver_edges: int = coloring.DRIVER_EDGES):
+                 budget_slack: int = 0, driver_edges: int = coloring.DRIVER_EDGES, dense_columns: tuple[str, ...] | list[str] = ()):
         if kind not in KINDS:
             raise ValueError(f"kind must be one of {KINDS}")
         self.kind, self.budget, self.dense_fraction, self.freq_cutoff = kind, budget, dense_fraction, freq_cutoff
         self.split_rate, self.split, self.budget_slack, self.driver_edges = split_rate, split, budget_slack, driver_edges
+        self.dense_columns = tuple(dense_columns)
 
     def _estimation(self, data: Examples) -> DataFrame:
         """Ids of the lines that only estimate."""
@@ -65,9 +71,12 @@ class Encoder:
         return data.lines.join(words, "ex_id", "left").where(estimation_half(text, self.split_rate)).select("ex_id")
 
     def fit(self, data: Examples, tabular: bool = False) -> EncoderModel:
+        if self.dense_columns and not tabular:
+            raise ValueError("only tabular data has columns that can be dense")
+        data = Examples(data.lines, data.tokens.where(~F.col("col").isin(*self.dense_columns))) if self.dense_columns else data
         found = vocab.fit_table_vocab(data) if tabular else vocab.fit_vocab(data, self.dense_fraction, self.freq_cutoff)
         found = hold(found)
-        ndense = 0 if tabular else found.where("dense").count()
+        ndense = len(self.dense_columns) if tabular else found.where("dense").count()
         colors = None
         if tabular:
             colors = hold(coloring.table_colors(found).select("fid", "color"))
@@ -89,4 +98,4 @@ class Encoder:
                 held = hold(self._estimation(data))
                 lines = lines.join(held, "ex_id", "left_semi")
             dictionary = quantizer.fit_quantizer(features, lines, colors, self.budget, ndense, self.kind, self.budget_slack)
-        return EncoderModel(found, colors, dictionary, held, ndense)
+        return EncoderModel(found, colors, dictionary, held, ndense, self.dense_columns)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +78,26 @@ def from_words(df: DataFrame, ex_id: str, word: Column, pos: Column | None = Non
                      word.cast("string").alias("key"), (value.cast("string") if value is not None else F.lit("1")).alias("value"))
 
 
+def read_csr(spark: SparkSession, path: str) -> DataFrame:
+    """(ex_id, target, features) of a table that ``write_csr`` wrote."""
+    rows = spark.read.parquet(path)
+    return rows.select("ex_id", F.col("y").alias("target"), F.arrays_zip(F.col("indices").alias("idx"), F.col("data").alias("val")).alias("features"))
+
+
+def read_flat(spark: SparkSession, path: str, columns: int) -> DataFrame:
+    """(ex_id, target, values) of files of 32-bit little-endian floats, a target and ``columns`` values a row."""
+    records = spark.sparkContext.binaryRecords(path, 4 * (columns + 1)).map(lambda r: (r,))  # the only splittable reader of fixed-width records
+    rows = spark.createDataFrame(records, "r binary").select(F.monotonically_increasing_id().alias("ex_id"), "r")
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = np.frombuffer(b"".join(batch.column("r").to_pylist()), "<f4").reshape(-1, columns + 1)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(0, len(table) + 1, dtype=np.int32) * columns), pa.array(np.ascontiguousarray(table[:, 1:]).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("ex_id"), pa.array(table[:, 0].astype(float)), values], ["ex_id", "target", "values"])
+
+    return rows.mapInArrow(decode, "ex_id long, target double, values array<float>")
+
+
 def finished_runs(grid: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """The cells of an experiment grid that have no record yet."""
     return grid.join(done.select(*keys).distinct(), keys, "left_anti")

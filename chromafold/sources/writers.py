@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chromafold.operators.ordered import running
+
 
 def output_path(path: str, suffix: str) -> str:
     """``path`` with its last extension replaced."""
@@ -51,9 +53,21 @@ def write_graph(edges: DataFrame, degrees: DataFrame, path: str) -> None:
 def csr_rows(encoded: DataFrame) -> DataFrame:
     """(ex_id, y, indptr, indices, data): CSR with indptr the number of entries up to and including the row."""
     n = F.size("features")
-    upto = Window.orderBy("ex_id").rowsBetween(Window.unboundedPreceding, 0)
-    return encoded.select("ex_id", F.col("target").alias("y"), F.sum(n).over(upto).alias("indptr"),
-                          F.transform("features", lambda e: e["idx"]).alias("indices"), F.transform("features", lambda e: e["val"]).alias("data"))
+    placed = running(encoded, [F.col("ex_id")], indptr=n)
+    return placed.select("ex_id", F.col("target").alias("y"), (F.col("indptr") + n).alias("indptr"),
+                         F.transform("features", lambda e: e["idx"]).alias("indices"), F.transform("features", lambda e: e["val"]).alias("data"))
+
+
+def write_csr(encoded: DataFrame, path: str) -> None:
+    """CSR rows as a columnar table in the order of ids."""
+    csr_rows(encoded).repartitionByRange("ex_id").sortWithinPartitions("ex_id").write.mode("overwrite").parquet(path)
+
+
+def concat_csr(upper: DataFrame, lower: DataFrame) -> DataFrame:
+    """(block, ex_id, y, indptr, indices, data): the rows of ``upper`` (block 0) and then those of ``lower``."""
+    before = F.broadcast(upper.agg(F.coalesce(F.max("indptr"), F.lit(0)).alias("_before")))  # one row
+    moved = lower.join(before).select(F.lit(1).alias("block"), "ex_id", "y", (F.col("indptr") + F.col("_before")).alias("indptr"), "indices", "data")
+    return upper.select(F.lit(0).alias("block"), "ex_id", "y", "indptr", "indices", "data").unionAll(moved)
 
 
 def stack_columns(left: DataFrame, right: DataFrame, offset: int) -> DataFrame:
