@@ -253,13 +253,30 @@ def greedy_color_validity(spark, sf_dir):
     return diagnostics.color_violations(vocab.line_features(data, words), coloring.color(edges, words)).agg(F.count("*").alias("violations"))
 
 
-@query()
+def _greedy(edges: str) -> str:
+    """Common table expressions up to ``colors`` (fid, color): one vertex a step, in the order of degrees in ``edges``."""
+    return f"""ends AS (SELECT l AS fid, r AS o FROM {edges} UNION ALL SELECT r, l FROM {edges}),
+placed AS (SELECT v.fid, row_number() OVER (ORDER BY count(e.o) DESC, v.fid) AS i FROM vocab v LEFT JOIN ends e USING (fid) GROUP BY v.fid),
+earlier AS MATERIALIZED (SELECT a.i, list(b.i) FILTER (WHERE b.i < a.i) AS prev FROM placed a LEFT JOIN ends e ON e.fid = a.fid LEFT JOIN placed b ON b.fid = e.o GROUP BY a.i),
+steps AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS done UNION ALL
+          SELECT e.i, list_append(done, CASE WHEN prev IS NULL THEN 0 ELSE (SELECT min(c) FROM (SELECT unnest(range(len(prev) + 1)) AS c) WHERE NOT list_contains(list_transform(prev, lambda p: done[p]), c)) END)
+          FROM steps s JOIN earlier e ON e.i = s.i + 1),
+raw AS (SELECT unnest(done) AS c, generate_subscripts(done, 1) AS i FROM (SELECT done FROM steps ORDER BY i DESC LIMIT 1)),
+ranks AS (SELECT c, CAST(row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS INTEGER) AS color FROM raw GROUP BY c),
+colors AS (SELECT CAST(fid AS INTEGER) AS fid, color FROM placed JOIN raw USING (i) JOIN ranks USING (c))"""
+
+
+def _recursive(ctes: str) -> str:
+    return f"WITH RECURSIVE {ctes}"
+
+
+@query(f"{_recursive(fix.BASKET)}, {_greedy('edges')} SELECT fid, color FROM colors")
 def greedy_color_assignment(spark, sf_dir):
     _, words, edges = basket_edges(spark, sf_dir)
     return coloring.color(edges, words)
 
 
-@query()
+@query(f"{_recursive(fix.BASKET)}, {_greedy('edges')} SELECT color, count(*) AS n FROM colors GROUP BY color")
 def color_class_sizes(spark, sf_dir):
     return diagnostics.class_sizes(greedy_color_assignment(spark, sf_dir))
 
@@ -272,13 +289,20 @@ def color_collisions_fixed(spark, sf_dir):
     return diagnostics.collisions(vocab.line_features(data, words), data.lines, colors).select(r6("mean").alias("mean"), r6("std").alias("std"))
 
 
-@query()
+@query(f"""{_recursive(fix.BASKET_SPLIT)}, {_greedy('train')}, x AS (SELECT ex_id, count(DISTINCT fid) - count(DISTINCT color) AS x FROM features JOIN colors USING (fid) GROUP BY ex_id),
+l AS (SELECT DISTINCT ex_id FROM basket WHERE ex_id % 10 >= 7) SELECT round(avg(coalesce(x, 0)), 6) AS mean, round(stddev_pop(coalesce(x, 0)), 6) AS std FROM l LEFT JOIN x USING (ex_id)""")
 def color_collisions(spark, sf_dir):
     _, valid, words, edges, _ = split_edges(spark, sf_dir)
-    return diagnostics.collisions(vocab.line_features(valid, words), valid.lines, coloring.color(edges, words))
+    found = diagnostics.collisions(vocab.line_features(valid, words), valid.lines, coloring.color(edges, words))
+    return found.select(r6("mean").alias("mean"), r6("std").alias("std"))
 
 
-@query()
+@query(f"""{_recursive(fix.BASKET)}, ends AS (SELECT l AS fid, r AS o FROM edges UNION ALL SELECT r, l FROM edges),
+near AS MATERIALIZED (SELECT v.fid, list(e.o) FILTER (WHERE e.o IS NOT NULL) AS others FROM vocab v LEFT JOIN ends e USING (fid) GROUP BY v.fid),
+steps AS (SELECT CAST(0 AS BIGINT) AS position, CAST(-1 AS BIGINT) AS fid, CAST(-1 AS BIGINT) AS degree, (SELECT list(coalesce(len(others), 0) ORDER BY fid) FROM near) AS d UNION ALL
+          SELECT s.position + 1, n.fid, list_max(d), list_transform(d, lambda x, j: CASE WHEN j = n.fid + 1 THEN -1 WHEN x > 0 AND list_contains(n.others, j - 1) THEN x - 1 ELSE x END)
+          FROM steps s JOIN near n ON n.fid = list_position(d, list_max(d)) - 1 WHERE list_max(d) >= 0)
+SELECT CAST(position - 1 AS INTEGER) AS position, CAST(fid AS INTEGER) AS fid, CAST(degree AS INTEGER) AS degree FROM steps WHERE position > 0""")
 def largest_first_order(spark, sf_dir):
     _, words, edges = basket_edges(spark, sf_dir)
     return coloring.removal_order(edges, words)
@@ -431,7 +455,9 @@ for _kind in ("sm", "sn", "ss", "ns"):
     query()(_quantized(_kind))
 
 
-@query()
+@query(f"""{_recursive(fix.BASKET)}, {_greedy('edges')}, m AS (SELECT fid, avg(target) AS val FROM features JOIN lines USING (ex_id) GROUP BY fid),
+e AS (SELECT ex_id, color AS idx, val FROM features JOIN m USING (fid) JOIN colors USING (fid) WHERE color < 64 AND val <> 0)
+SELECT l.ex_id, target, coalesce({SHOW}, '') AS encoded FROM lines l LEFT JOIN e USING (ex_id) GROUP BY 1, 2""")
 def encode_graph_te(spark, sf_dir):
     """Mean targets of the basket, colored by its co-occurrence graph."""
     data = fix.basket(spark, sf_dir)
