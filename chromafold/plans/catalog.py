@@ -451,8 +451,39 @@ def _quantized(kind: str):
     return run
 
 
+def _interval(lo: str, hi: str) -> str:
+    """An interval's information: counts and negatives between two positions of a color's lists."""
+    c, g = f"(cs[{hi} + 1] - cs[{lo} + 1])", f"(gs[{hi} + 1] - gs[{lo} + 1])"
+    return f"((CASE WHEN {g} > 0 THEN {g} * ln({g} / {c} / sh) ELSE 0 END + CASE WHEN {c} > {g} THEN ({c} - {g}) * ln(({c} - {g}) / {c} / (1 - sh)) ELSE 0 END) / cs[len(cs)])"
+
+
+def _quantized_sql(kind: str, slots: int = 9) -> str:
+    """Splits one color a row, a split a step; then the best of all colors."""
+    estimated, shown_ = ("WHERE ex_id % 2 = 0", "WHERE ex_id % 2 <> 0") if kind in ("sm", "ss") else ("", "")
+    marginal = kind in ("ss", "ns")
+    below, above = "list_max(list_filter(chosen, lambda x: x < {k}))", "list_min(list_filter(chosen, lambda x: x > {k}))"
+    lo, hi = f"coalesce({below.format(k='k')}, 0)", f"coalesce({above.format(k='k')}, len(cs) - 1)"
+    gain = f"greatest({_interval('lo', 'k')} + {_interval('k', 'hi')} - {_interval('lo', 'hi')}, 0)"
+    candidates = f"(SELECT k, {lo} AS lo, {hi} AS hi FROM (SELECT unnest(range(1, len(cs) - 1)) AS k) WHERE NOT list_contains(chosen, k))"
+    best = f"(SELECT max({{'gain': {gain}, 'k': k}}) FROM {candidates})"
+    source = f"SELECT color, k, {gain} AS gain FROM (SELECT *, {lo} AS lo, {hi} AS hi FROM (SELECT *, unnest(chosen) AS k FROM last))" if marginal else "SELECT color, pick.k AS k, pick.gain AS gain FROM steps WHERE pick IS NOT NULL"
+    return f"""WITH RECURSIVE {fix.TABULAR}, est AS (SELECT * FROM lines {estimated}), {SKETCH.replace("JOIN lines USING", "JOIN est USING")},
+items AS (SELECT color, fid, pos, neg FROM sketch), {CUMULATIVE},
+tot AS (SELECT CAST(sum(CASE WHEN target > 0 THEN 0 ELSE 1 END) AS DOUBLE) / count(*) AS sh FROM est),
+merged AS (SELECT color, max("at") AS "at", CAST(max(cum_cnt) AS DOUBLE) AS c, CAST(max(cum_neg) AS DOUBLE) AS g FROM (SELECT cum.*, round(CAST(neg AS DOUBLE) / (pos + neg), 12) AS ratio FROM cum JOIN items USING (color, fid)) GROUP BY color, ratio),
+per AS MATERIALIZED (SELECT color, list_prepend(0.0, list(c ORDER BY "at")) AS cs, list_prepend(0.0, list(g ORDER BY "at")) AS gs, list("at" ORDER BY "at") AS ats, (SELECT sh FROM tot) AS sh FROM merged GROUP BY color),
+steps AS (SELECT color, 0 AS n, CAST([] AS BIGINT[]) AS chosen, CAST(NULL AS STRUCT(gain DOUBLE, k BIGINT)) AS pick FROM per UNION ALL
+  SELECT color, n + 1, list_append(chosen, pick.k), pick FROM (SELECT color, n, chosen, {best} AS pick FROM (SELECT s.color, s.n, s.chosen, cs, gs, sh FROM steps s JOIN per USING (color) WHERE n < {slots + marginal})) WHERE pick.gain > 1e-12),
+last AS (SELECT color, chosen, cs, gs, sh FROM (SELECT *, row_number() OVER (PARTITION BY color ORDER BY n DESC) AS r FROM steps) JOIN per USING (color) WHERE r = 1),
+cuts AS (SELECT color, ats[k] AS "at" FROM ({source}) JOIN per USING (color) ORDER BY gain DESC, color DESC, k DESC LIMIT {slots}),
+parts AS (SELECT cum.color, cum.fid, count(cuts."at") AS part FROM cum LEFT JOIN cuts ON cuts.color = cum.color AND cuts."at" < cum."at" GROUP BY 1, 2),
+starts AS (SELECT color, coalesce(sum(max(part) + 1) OVER (ORDER BY color ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM parts GROUP BY color),
+e AS (SELECT ex_id, f.color, CAST(max(start + part) AS INTEGER) AS idx, 1.0 AS val FROM features f JOIN parts USING (color, fid) JOIN starts USING (color) GROUP BY 1, 2)
+SELECT l.ex_id, target, coalesce({SHOW}, '') AS encoded FROM (SELECT * FROM lines {shown_}) l LEFT JOIN e USING (ex_id) GROUP BY 1, 2"""
+
+
 for _kind in ("sm", "sn", "ss", "ns"):
-    query()(_quantized(_kind))
+    query(_quantized_sql(_kind))(_quantized(_kind))
 
 
 @query(f"""{_recursive(fix.BASKET)}, {_greedy('edges')}, m AS (SELECT fid, avg(target) AS val FROM features JOIN lines USING (ex_id) GROUP BY fid),

@@ -23,7 +23,7 @@ def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).columns == ["ex_id", "target", "encoded"]
 
 
-@pytest.mark.parametrize("name", ["word_cardinality", "vocab_dense_index", "edge_freq", "new_edges_curve", "encode_ft", "encode_with_dense", "mi_cumulative", "classification_metrics"])
+@pytest.mark.parametrize("name", ["word_cardinality", "vocab_dense_index", "edge_freq", "new_edges_curve", "encode_ft", "encode_with_dense", "mi_cumulative", "classification_metrics", "encode_tabular_dense", "encode_sm", "encode_ns", "encoding_grid", "dataset_summary", "greedy_color_assignment", "largest_first_order", "content_split", "positional_split", "finished_run_anti_join"])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from chromafold.functions import features as fx
 from chromafold.operators import coloring, diagnostics, encoders, graph, learners, quantizer, reports, vocab
+from chromafold.operators.ordered import running
 from chromafold.plans.pipeline import Encoder
+from chromafold.plans.run import compress
 from chromafold.sources import readers, writers
 
 H1 = ["1 a b c", "0 a b", "1 b d", "0 d e", "1 a a"]
@@ -334,3 +336,75 @@ def test_stream_gives_what_a_batch_gives(spark, tmp_path):
         q.stop()
         got = sorted((r.target, [(e.idx, round(e.val, 9)) for e in r.features]) for r in spark.sql(f"select * from out_{kind}").collect())
         assert got == want, kind
+
+
+def test_running_sums_and_ordinals(spark):
+    rnd = random.Random(4)
+    rows = [(i, rnd.randint(0, 5)) for i in rnd.sample(range(1000), 300)]
+    df = spark.createDataFrame(rows, "i int, n int").repartition(5)
+    total, want = 0, {}
+    for i, n in sorted(rows):
+        want[i] = total
+        total += n
+    assert {r.i: r.before for r in running(df, [F.col("i")], before=F.col("n")).collect()} == want
+    numbers = {i: k for k, (i, _) in enumerate(sorted(rows))}
+    for spread in (None, True, False):
+        assert {r.i: r.k for r in vocab.ordinal(df, [F.col("i")], "k", spread).collect()} == numbers
+    assert running(df.limit(0), [F.col("i")], before=F.col("n")).collect() == []
+
+
+def test_splits_along_an_order(spark):
+    df = spark.range(50).select(F.col("id").alias("i")).repartition(4)
+    first = {r.i for r in reports.chronological_split(df, [F.col("i")], 20).where("part = 'train'").collect()}
+    share = {r.i for r in reports.positional_split(df, [F.col("i")], 0.5).where("part = 'train'").collect()}
+    assert first == set(range(20)) and share == {i for i in range(50) if i / 49 < 0.5}
+    assert [r.part for r in reports.positional_split(df.limit(1), [F.col("i")], 0.5).collect()] == ["train"]
+
+
+def test_tabular_data_with_dense_columns(spark, tmp_path):
+    rows = [f"{i % 2}\t{'ab'[i % 2]}\t{i / 2}\t{'xyz'[i % 3]}\t" for i in range(30)]
+    (tmp_path / "t.tsv").write_text("\n".join(rows) + "\n")
+    data = readers.read_tsv(spark, str(tmp_path / "t.tsv"))
+    model = Encoder("id", 10, dense_columns=["1", "9"]).fit(data, tabular=True)
+    assert sorted((r.idx, r.dim) for r in model.field_dims().collect()) == [(0, 3), (1, 4), (2, 1), (3, 1)]
+    got = sorted((r.target, tuple((e.idx, e.val) for e in r.features)) for r in model.transform(data).collect())
+    code = {k: c for c, k in enumerate(sorted("ab", reverse=True), 1)}, {k: c for c, k in enumerate(sorted("xyz", reverse=True), 1)}
+    want = []
+    for i in range(30):
+        entries = [(0, float(code[0]["ab"[i % 2]])), (1, float(code[1]["xyz"[i % 3]]))]
+        want.append((float(i % 2), tuple(entries + ([(2, i / 2)] if i else []))))
+    assert got == sorted(want)
+    with pytest.raises(ValueError):
+        Encoder("id", 10, dense_columns=["1"]).fit(data)
+
+
+def test_one_call_run_writes_everything(spark, tmp_path):
+    rnd = random.Random(9)
+    for name, n in (("train", 60), ("valid", 20)):
+        lines = [f"{i % 2} " + " ".join(f"w{rnd.randrange(12)}" for _ in range(3)) for i in range(n)]
+        (tmp_path / f"{name}.svm").write_text("\n".join(lines) + "\n")
+    paths = compress(spark, str(tmp_path / "train.svm"), str(tmp_path / "valid.svm"), "ft", 5, dense_fraction=2, max_k=3)
+    assert paths["train"].endswith("train.ft5.svm") and paths["valid"].endswith("valid.ft5.svm")
+    assert spark.read.text(paths["train"]).count() == 60 and spark.read.text(paths["valid"]).count() == 20
+    assert [r.value for r in spark.read.text(paths["dims"]).collect()] == ["1"] * 5
+    words = [set(x.split()[1:]) for x in (tmp_path / "train.svm").read_text().splitlines()]
+    edges = {tuple(sorted((a, b))) for w in words for a in w for b in w if a < b}
+    assert spark.read.text(paths["graph"]).count() == len(edges)
+    assert spark.read.text(paths["degrees"]).count() == len(set().union(*words))
+    assert sorted(r.k for r in spark.read.json(paths["report"]).collect()) == [1, 2, 3]
+
+
+def test_csr_files_and_flat_files(spark, tmp_path):
+    rows = [(i, float(i % 2), [(k, 1.0 + k) for k in range(i % 4)]) for i in range(20)]
+    encoded = spark.createDataFrame(rows, "ex_id long, target double, features array<struct<idx:int,val:double>>").repartition(3)
+    writers.write_csr(encoded, str(tmp_path / "x.csr"))
+    back = readers.read_csr(spark, str(tmp_path / "x.csr"))
+    assert sorted((r.ex_id, r.target, [tuple(e) for e in r.features]) for r in back.collect()) == rows
+    csr = writers.csr_rows(encoded)
+    both = writers.concat_csr(csr, csr).orderBy("block", "ex_id").collect()
+    ends = [sum(len(f) for *_, f in (rows + rows)[: k + 1]) for k in range(40)]
+    assert [r.indptr for r in both] == ends and len(both) == 40
+    table = np.arange(24, dtype="<f4").reshape(6, 4)
+    table.tofile(tmp_path / "d.bin")
+    flat = sorted((r.target, list(r["values"])) for r in readers.read_flat(spark, str(tmp_path / "d.bin"), 3).collect())
+    assert flat == [(x[0], x[1:]) for x in table.tolist()]
