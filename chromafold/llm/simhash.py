@@ -224,7 +224,7 @@ def named(distinct: DataFrame, links: DataFrame) -> DataFrame:
     parts = distinct.sparkSession.sparkContext.defaultParallelism
     roots = components(links)
     rooted = hold(distinct.join(roots, distinct.fp == roots.vertex, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    names = rooted.groupBy("root").agg(F.min("first").alias("name"))
+    names = rooted.groupBy("root").agg(F.min("first").alias("name")).repartition(parts)  # keeps the join's shuffle splittable
     return rooted.select("fp", "root").join(names, "root").select(F.col("fp").alias("of"), "name").repartition(parts)
 
 

@@ -7,12 +7,12 @@ shards that hold all passages able to match each other, and passages are sent to
 1. *Anchors.* Each run of ``length`` words is assigned to the smallest hash among its word grams of half its
    length (leftmost on ties). The choice depends on the run alone, so equal runs have equal anchors.
    Neighbouring runs with one anchor form a passage, whose runs are exactly those assigned to it.
-2. *Shards.* Passages whose anchor occurs once in the corpus are dropped: they cannot repeat. A passage that
-   occurs twice in full repeats throughout. Where an anchor has several different passages, these are the
-   reference shard of that anchor: a suffix automaton of all of them, in which each passage is streamed for its
-   matching statistics; runs of at least ``length`` words that the automaton holds twice are removed.
+2. *Shards.* Passages whose anchor occurs once in the corpus are dropped: they cannot repeat. The different
+   passages of any other anchor, with how often each occurs, are the reference shard of that anchor: a suffix
+   automaton of all of them, in which each is streamed for its matching statistics; maximal stretches of runs of
+   at least ``length`` words that the automaton holds twice are removed wherever that passage stands.
 3. An anchor with more than ``shard_limit`` different passages is cut into shards of equal runs, counted by
-   a partial aggregate, so that no group is held in one task.
+   a partial aggregate, so that no group is held in one task; it removes what the automaton would.
 
 Equal texts are worked on once: their runs all repeat. Symbols are 64-bit word hashes, texts are told apart
 by 80 bits of hash. ``ReferenceShards`` matches documents against a given reference by broadcast automata.
@@ -104,31 +104,35 @@ def _place(p: Column) -> list[Column]:
 
 
 def _match_shards(rows: DataFrame, length: int) -> DataFrame:
-    """(t, u, a, b): the repeated runs of the passages that occur once, by the automaton of their anchor's shard."""
+    """(h, c, i, j): the repeated runs i to j of each passage (h, c), by the automaton of its anchor's shard.
+
+    ``rows`` holds each different passage once, sorted by anchor, with how often it occurs (n).
+    """
     def shard(group: list[tuple]) -> Iterator[tuple]:
-        automaton, seen = SuffixAutomaton(), set()
-        for _, c, n, *_, content in group:
-            if c not in seen:
-                seen.add(c)
-                automaton.add(content, min(n, 2))
-        for _, _, n, t, u, a, content in group:
-            if n == 1:
-                for at, size in enumerate(automaton.matches(content, 2)):
-                    if size >= length:
-                        yield t, u, a + at - length + 1, a + at - length + 1
+        automaton = SuffixAutomaton()
+        for _, _, n, content in group:
+            automaton.add(content, min(n, 2))
+        for h, c, _, content in group:
+            begin = None
+            for run, size in enumerate(automaton.matches(content, 2), 1 - length):
+                if size >= length and begin is None:
+                    begin = run
+                elif size < length and begin is not None:
+                    yield h, c, begin, run - 1
+                    begin = None
+            if begin is not None:
+                yield h, c, begin, len(content) - length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
 
         def out(found: list[tuple]) -> pa.RecordBatch:
             columns = zip(*found, strict=True) if found else ((),) * 4
-            return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip("tuab", columns, strict=True)})
+            return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip("hcij", columns, strict=True)})
 
         for batch in batches:
             found: list[tuple] = []
-            content = batch.column("content").to_pylist()
-            plain = [batch.column(k).to_pylist() for k in ("h", "c", "n", "t", "u", "a")]
-            for record in zip(*plain, content, strict=True):
+            for record in zip(*(batch.column(k).to_pylist() for k in ("h", "c", "n", "content")), strict=True):
                 if group and group[0][0] != record[0]:
                     found += shard(group)
                     group = []
@@ -137,7 +141,7 @@ def _match_shards(rows: DataFrame, length: int) -> DataFrame:
         if group:
             yield out(list(shard(group)))
 
-    return rows.mapInArrow(run, "t long, u long, a long, b long")
+    return rows.mapInArrow(run, "h long, c long, i long, j long")
 
 
 def repeated_spans(texts: DataFrame, keyed: DataFrame, length: int, shard_limit: int = 256) -> DataFrame:
@@ -156,12 +160,10 @@ def repeated_spans(texts: DataFrame, keyed: DataFrame, length: int, shard_limit:
     found = found.select(turned, "c", "t", "p").groupBy("x", "c", "t", "p").agg(F.lit(1).alias("one"))
     found = written(found.select(F.bitwise_not("x").alias("h"), "c", "t", "p"))
     kinds = written(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("t", "p")).alias("at")))
-    whole = kinds.where("n > 1").select(F.col("h").alias("wh"), F.col("c").alias("wc"))
-    whole = found.join(whole, (found.h == whole.wh) & (found.c == whole.wc), "left_semi").select("t", *_place(F.col("p")))
-    mixed = kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select(F.col("h").alias("mh"), "m").repartition(parts)
-    mixed = kinds.join(mixed, kinds.h == mixed.mh).select("h", "c", "n", "m", F.col("at.t").alias("t"), *_place(F.col("at.p")))
-    wanted = mixed.groupBy("t", "u").agg(F.collect_list(F.struct("h", "c", "n", "m", "a", "b")).alias("wanted"))
-    near = texts.join(wanted, ["t", "u"]).select("t", "u", "text", "wanted")
+    several = kinds.groupBy("h").agg(F.count("*").alias("m")).select(F.col("h").alias("mh"), "m").repartition(parts)
+    wanted = kinds.join(several, kinds.h == several.mh).select("h", "c", "n", "m", F.col("at.t").alias("t"), *_place(F.col("at.p")))
+    wanted = wanted.groupBy("t", "u").agg(F.collect_list(F.struct("h", "c", "n", "m", "a", "b")).alias("wanted"))
+    near = texts.join(wanted, ["t", "u"]).select("text", "wanted")
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,29 +171,29 @@ def repeated_spans(texts: DataFrame, keyed: DataFrame, length: int, shard_limit:
                 data, offsets = text_buffers(part.column("text"))
                 s, e, first = words(data, offsets)
                 hashes = word_hashes(data, s, e)
-                rows = {k: [] for k in ("h", "c", "n", "t", "u", "a")}
-                content: list[np.ndarray] = []
-                lists = zip(part.column("t").to_pylist(), part.column("u").to_pylist(), part.column("wanted").to_pylist(), first.tolist(), strict=False)
-                for t, u, wanted_, begin in lists:
-                    for x in wanted_:
-                        if x["m"] <= shard_limit:
-                            spans = [(x["h"], x["c"], x["a"], x["b"])]
-                        else:  # a shard for each run: its hash pair takes the place of anchor and content
-                            some = hashes[begin + x["a"] : begin + x["b"] + length]
-                            pairs = zip(gram_hashes(some, length).view(np.int64).tolist(), gram_hashes(mix(some), length).view(np.int64).tolist(), strict=True)
-                            spans = [(h, c, x["a"] + k, -1) for k, (h, c) in enumerate(pairs)]
-                        for h, c, a, b in spans:
-                            for k, v in zip(("h", "c", "n", "t", "u", "a"), (h, c, x["n"], t, u, a), strict=True):
+                rows = {k: [] for k in ("h", "c", "n", "i", "x", "y")}
+                content: list[np.ndarray | None] = []
+                for wanted_, begin in zip(part.column("wanted").to_pylist(), first.tolist(), strict=False):
+                    for w in wanted_:
+                        some = hashes[begin + w["a"] : begin + w["b"] + length]
+                        if w["m"] <= shard_limit:
+                            runs = [(None, None)]
+                        else:  # a shard for each run, named by two hashes
+                            runs = list(zip(gram_hashes(some, length).view(np.int64).tolist(), gram_hashes(mix(some), length).view(np.int64).tolist(), strict=True))
+                        for i, (x, y) in enumerate(runs):
+                            for k, v in zip(rows, (w["h"], w["c"], w["n"], i, x, y), strict=True):
                                 rows[k].append(v)
-                            content.append(hashes[begin + a : begin + b + length].view(np.int64) if b >= 0 else None)
+                            content.append(some.view(np.int64) if x is None else None)
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in rows.items()} | {"content": pa.array(content, pa.list_(pa.int64()))})
 
-    held = written(near.mapInArrow(contents, "h long, c long, n long, t long, u long, a long, content array<long>"))
-    shards = held.where("content is not null").repartition(parts, "h").sortWithinPartitions("h")
-    runs = held.where("content is null").select("h", "c", "n", "t", "u", "a")
-    twice = runs.groupBy("h", "c").agg(F.sum("n").alias("k")).where("k > 1").select(F.col("h").alias("rh"), F.col("c").alias("rc")).repartition(parts)
-    split = runs.join(twice, (runs.h == twice.rh) & (runs.c == twice.rc), "left_semi").select("t", "u", "a", F.col("a").alias("b"))
-    return whole.unionAll(_match_shards(shards, length)).unionAll(split)
+    held = written(near.mapInArrow(contents, "h long, c long, n long, i long, x long, y long, content array<long>"))
+    shards = held.where("content is not null").select("h", "c", "n", "content").repartition(parts, "h").sortWithinPartitions("h")
+    runs = held.where("content is null").select("h", "c", "n", "i", "x", "y")
+    twice = runs.groupBy("x", "y").agg(F.sum("n").alias("k")).where("k > 1").select(F.col("x").alias("tx"), F.col("y").alias("ty")).repartition(parts)
+    split = runs.join(twice, (runs.x == twice.tx) & (runs.y == twice.ty), "left_semi").select("h", "c", "i", F.col("i").alias("j"))
+    again = _match_shards(shards, length).unionAll(split).select(F.col("h").alias("sh"), F.col("c").alias("sc"), "i", "j")
+    placed = found.join(again, (found.h == again.sh) & (found.c == again.sc)).select("t", *_place(F.col("p")), "i", "j")
+    return placed.select("t", "u", (F.col("a") + F.col("i")).alias("a"), (F.col("a") + F.col("j")).alias("b"))
 
 
 def _cut(raw: bytes, s: np.ndarray, e: np.ndarray, gone: np.ndarray) -> tuple[str, str]:
