@@ -8,7 +8,8 @@ combination can fill is filled by cutting one more piece. What is left at the en
 windows whose lengths are powers of two, so no window needs padding.
 
 Defined cases: null text counts as empty (one end-of-document token); null ids are carried; repeated rows
-are packed as separate documents; an empty table gives no pieces; other input columns are ignored.
+are packed as separate documents; a document longer than a window is cut, however long; of equal lengths the
+earlier document goes first; an empty table gives no pieces; other input columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ each pattern trains a logistic classifier over token features (at most 2**8 feat
 a column expression; candidates that score above ``threshold`` and touch no base span are added as ``secret``.
 
 Defined cases: null text counts as empty and has no spans; null ids are carried; repeated rows get equal
-results; an empty table gives an empty result and adds nothing; other input columns are kept by ``redact``
+results; very long texts are read whole; of overlapping spans ``redact`` keeps the first, of those the longest;
+an empty table gives an empty result and adds nothing; other input columns are kept by ``redact``
 and ignored by ``find_spans``.
 """
 

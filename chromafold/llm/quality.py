@@ -8,7 +8,8 @@ but documents that differ anywhere count each, however much of them is shared. A
 ``max_removed`` of its characters is depleted and rejected.
 
 Defined cases: null text has no words and fails the base rules; a null host is a host of its own; null ids
-are carried; repeated rows get equal verdicts; an empty table gives an empty result; other input columns
+are carried; repeated rows get equal verdicts; very long texts and lines are read whole; a line exactly at both
+limits is removed, a document that loses exactly ``max_removed`` is kept; an empty table gives an empty result; other input columns
 are ignored.
 """
 

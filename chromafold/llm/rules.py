@@ -7,7 +7,8 @@ column expression.
 
 Defined cases: null text counts as empty (all statistics 0) and is scored like any other; label rows without
 a document, or with a null label, are not used; without labelled rows every score is 0.5; null ids are
-carried; repeated rows get equal scores; an empty table gives an empty result; other input columns are ignored.
+carried; repeated rows get equal scores; very long texts are read whole; of equally good splits the first
+statistic and threshold are taken; an empty table gives an empty result; other input columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ than ``list_limit`` is cut into blocks whose pairs are compared in tasks of thei
 dropped, capped or held whole.
 
 Defined cases: null and word-less texts have fingerprint zero and link like any other; repeated rows and
-equal texts share a fingerprint; a class is named by its smallest non-null id (null if it has none); an
+equal texts share a fingerprint; very long texts are read whole; a bit set in exactly half of the hashes is 0; a class is named by its smallest non-null id (null if it has none); an
 empty table gives an empty result; other input columns are ignored.
 """
 

@@ -18,7 +18,7 @@ Equal texts are worked on once: their runs all repeat. Symbols are 64-bit word h
 by 80 bits of hash. ``ReferenceShards`` matches documents against a given reference by broadcast automata.
 
 Defined cases: null text has no words; texts shorter than ``length`` words lose nothing; repeated rows are
-copies of each other; null ids are carried; an empty table gives an empty result; other input columns are
+copies of each other; very long texts are read whole; equally small grams anchor at the leftmost; null ids are carried; an empty table gives an empty result; other input columns are
 kept by ``remove_spans`` and ignored by ``repeated_spans``.
 """
 

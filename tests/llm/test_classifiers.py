@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from chromafold.llm.language import identify, train
-from chromafold.llm.rules import STATISTICS, classify, fit, holds, lasso, statistics
+from chromafold.llm.rules import STATISTICS, _split, classify, fit, holds, lasso, statistics
 from chromafold.llm.queries import op4_language, op9_quality_classifier
 
 SF = "/root/testdata/sf0.01"
@@ -76,6 +76,41 @@ def test_calibration_lowers_the_loss_of_overconfident_scores():
     assert [model.languages[b] for b in best] == ["x", "y"] and (score <= 1).all()
 
 
+def test_lasso_is_optimal():
+    rng = np.random.default_rng(3)
+    a = (rng.random((300, 12)) < 0.4).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(2.5 * a[:, 0] - 2 * a[:, 1] + 0.2)))).astype(float)
+    penalty = 0.02
+    w, intercept = lasso(a, y, penalty, rounds=5000)
+
+    def loss(w, b):
+        z = a @ w + b
+        return (np.logaddexp(0, z) - y * z).mean() + penalty * np.abs(w).sum()
+
+    best = loss(w, intercept)
+    assert 0 < (w != 0).sum() < 12 and w[0] > 0 > w[1]
+    for j in range(12):  # no coordinate can be improved alone, which for a convex loss is the optimum
+        for d in (-0.05, -0.01, 0.01, 0.05):
+            moved = w.copy()
+            moved[j] += d
+            assert loss(moved, intercept) > best - 1e-6
+    assert loss(w, intercept + 0.02) > best - 1e-6 and loss(w, intercept - 0.02) > best - 1e-6
+
+
+def test_split_matches_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        x, residual = rng.integers(0, 6, (40, 3)).astype(float), rng.normal(size=40)
+        cuts = [np.arange(6) - 0.5] * 3
+        best = max(((s := residual[x[:, j] <= at]).sum() ** 2 / len(s) + (o := residual[x[:, j] > at]).sum() ** 2 / len(o), -j, -at)
+                   for j in range(3) for at in cuts[j] if 5 <= (x[:, j] <= at).sum() <= 35)
+        got = _split(x, residual, cuts, 5)
+        if got is None:
+            assert best[0] <= residual.sum() ** 2 / 40 + 1e-6
+        else:
+            assert abs(got[0] - best[0]) < 1e-9
+
+
 def test_quality_held_out(spark):
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = op9_quality_classifier(spark, SF).collect()
