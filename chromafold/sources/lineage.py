@@ -11,8 +11,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; only a session that names none (a test on one machine) gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if folder is None:
-        folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="checkpoints-")
+    if folder is None and held.isDefined():
+        folder = held.get()
+    elif folder is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
     if not held.isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -326,16 +326,17 @@ def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     data = svm(spark, lines)
     probe = [*lines[:30], "1 f1 f2 f3 f4 f5 f6 unknown", "0", "1 f1 f1"]
     (tmp_path / "in").mkdir()
-    for kind in ("ft", "te", "faft", "id"):
-        model = Encoder(kind, 40 if kind != "ft" else 8, dense_fraction=2).fit(data)
+    for kind, dense in (("ft", 2), ("te", 2), ("faft", 2), ("id", 2), ("sn", 2), ("ns", 2), ("sn", 0.25), ("te", 0.25), ("ft", 0.25)):
+        model = Encoder(kind, 40 if kind != "ft" else 8, dense_fraction=dense).fit(data)
+        assert (model.ndense > 0) == (dense < 1)
         want = sorted((r.target, [(e.idx, round(e.val, 9)) for e in r.features]) for r in model.transform(svm(spark, probe)).collect())
         (tmp_path / "in" / "a.txt").write_text("\n".join(probe) + "\n")
         stream = stream_encoder(model)(spark.readStream.text(str(tmp_path / "in")))
-        q = stream.writeStream.format("memory").queryName(f"out_{kind}").outputMode("append").start()
+        q = stream.writeStream.format("memory").queryName(f"out_{kind}{model.ndense}").outputMode("append").start()
         q.processAllAvailable()
         q.stop()
-        got = sorted((r.target, [(e.idx, round(e.val, 9)) for e in r.features]) for r in spark.sql(f"select * from out_{kind}").collect())
-        assert got == want, kind
+        got = sorted((r.target, [(e.idx, round(e.val, 9)) for e in r.features]) for r in spark.sql(f"select * from out_{kind}{model.ndense}").collect())
+        assert got == want, (kind, dense)
 
 
 def test_running_sums_and_ordinals(spark):
