@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import regex
@@ -28,7 +29,7 @@ class WordIds(dict):
         self.pending: list[bytes] = []
         self.held = 0
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 15, np.int64)  # ends[i + 1]: end of entry i in flat
+        self.ends = np.zeros(1 << 15, np.int32)  # ends[i + 1]: end of entry i in flat; wider when that is needed
         self.filled = 0
 
     def __missing__(self, word: bytes) -> int:
@@ -45,7 +46,9 @@ class WordIds(dict):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.ends) < self.filled + len(coded) + 1:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[at : at + total] = np.fromiter((x for c in coded for x in c), np.uint32, total)
+        if at + total >= 1 << 31:
+            self.ends = self.ends.astype(np.int64)
+        self.flat[at : at + total] = np.fromiter(chain.from_iterable(coded), np.uint32, total)
         self.ends[self.filled + 1 : self.filled + 1 + len(coded)] = at + np.cumsum(lens)
         self.filled += len(coded)
         self.held += sum(map(len, self.pending))
@@ -58,13 +61,13 @@ class WordIds(dict):
         words = text.split()
         if not words:
             return np.zeros(0, np.uint32)
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
         if self.pending:
             self._grow()
         begin, end = self.ends[at], self.ends[at + 1]
         lens = end - begin
-        stop = np.cumsum(lens)
-        return self.flat[np.repeat(begin - stop + lens, lens) + np.arange(int(stop[-1]))]
+        stop = np.cumsum(lens, dtype=lens.dtype)
+        return self.flat[np.repeat(begin - stop + lens, lens) + np.arange(int(stop[-1]), dtype=lens.dtype)]
 
 
 def byte_letters() -> dict[int, str]:
@@ -102,7 +105,8 @@ class WordEncoder:
         split = spec["pre_tokenizer"].get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         self.plain = split == WORD_PATTERN and kinds == ["NFC", "Replace", "Lowercase"]
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        special = [re.escape(t["content"]) for t in spec["added_tokens"]]
+        self.special = re.compile("|".join(special) if special else "(?!)").search
         self.letters = byte_letters()
         self.parts: dict[str, list[int]] = {}
         self.max_parts = max_parts
@@ -113,17 +117,19 @@ class WordEncoder:
         if ids is None:
             if len(self.parts) >= self.max_parts:
                 self.parts.clear()
-            coded = part.encode("utf-8").decode("latin-1").translate(self.letters)
+            coded = part if part.isascii() else part.encode("utf-8").decode("latin-1").translate(self.letters)  # the parts hold no spaces or controls
             ids = self.parts[part] = [t.id for t in self.model.tokenize(coded)]
         return ids
 
     def __call__(self, words: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = []
+        plain, simple, special, part = self.plain, SIMPLE.fullmatch, self.special, self.part
         for raw in words:
             word = raw.decode("utf-8")
-            if self.plain and SIMPLE.fullmatch(word) and not any(s in word for s in self.special):
-                parts = self.find(word.lower())
-                out.append(self.part(parts[0]) if len(parts) == 1 else [x for p in parts for x in self.part(p)])
+            if plain and simple(word) and not special(word):
+                word = word.lower()
+                parts = (word,) if word.isalpha() else self.find(word)
+                out.append(part(parts[0]) if len(parts) == 1 else [x for p in parts for x in part(p)])
             else:
                 out.append(self.tokenizer.encode(word, add_special_tokens=False).ids)
         return out
