@@ -35,7 +35,7 @@ def scaled(vectors: np.ndarray) -> np.ndarray:
 class Block:
     """Sorted projections of one block's distinct vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, projections: int = 128, width: float = 2.0, share: float = 0.69, step: float = 1.2, seed: int = 5):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, projections: int = 128, width: float = 2.4, share: float = 0.77, step: float = 1.2, seed: int = 5):
         order = np.lexsort((*vectors.T[::-1], ids))
         order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])] if len(ids) else order
         ids, vectors = ids[order], vectors[order]
