@@ -2,18 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
-
-from chromafold.sources.lineage import hold, shared_dir
+from chromafold.sources.lineage import hold, shared_dir, written
 
 __all__ = ["hold", "shared_dir", "written"]
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Like ``hold``, as a compressed columnar table: for wide or many rows that are read more than once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

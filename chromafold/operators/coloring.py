@@ -2,34 +2,39 @@
 
 Vertices are colored by falling degree (ties by id), each with the smallest color its colored neighbours leave
 free; colors are then renumbered by falling class size. The sequential form runs on the driver for graphs of at
-most ``driver_edges`` edges (a checked count); larger graphs are colored in rounds, each coloring all vertices
-whose earlier neighbours are done, which gives the same colors.
+most ``driver_edges`` edges (a checked count). Larger graphs stay distributed: the driver holds a few numbers a
+vertex and at most about ``driver_edges`` edges at a time, and gives the same colors and orders.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromafold.operators import graph
-from chromafold.sources.lineage import hold
+from chromafold.sources.lineage import hold, written
 
-DRIVER_EDGES = 5_000_000
+DRIVER_EDGES = 4_000_000
+PIECES = 8  # tasks that read one block of edges
+WORD = 63  # colors in one signed 64-bit mask
 
 
 class Adjacency:
     """Neighbour lists of a graph held in memory: those of vertex v are others[start[v]:start[v + 1]]."""
 
     def __init__(self, n: int, left: np.ndarray, right: np.ndarray):
-        ends, others = np.concatenate([left, right]), np.concatenate([right, left])
-        order = np.lexsort((others, ends))
-        self.others = others[order]
-        self.start = np.searchsorted(ends[order], np.arange(n + 1))
+        keys = np.concatenate([left, right]).astype(np.int64) * max(1, n)
+        keys += np.concatenate([right, left])
+        keys.sort()
+        self.start = np.searchsorted(keys, np.arange(n + 1) * max(1, n))
+        self.others = (keys % max(1, n)).astype(np.int32)
         self.degree = np.diff(self.start)
         self.n = n
 
@@ -37,23 +42,51 @@ class Adjacency:
         return self.others[self.start[v] : self.start[v + 1]]
 
 
+def _ends(edges: DataFrame) -> DataFrame:
+    """The two ends of every edge, written once."""
+    return written(edges.select(F.col("l").cast("int").alias("l"), F.col("r").cast("int").alias("r")))
+
+
+def _collected(rows: DataFrame) -> list[np.ndarray]:
+    """The columns of ``rows`` on the driver."""
+    return [c.to_numpy() for c in rows.toArrow().columns]
+
+
 def collect_graph(edges: DataFrame, n: int, limit: int = DRIVER_EDGES) -> Adjacency:
     """A graph of at most ``limit`` edges, on the driver."""
-    rows = edges.select("l", "r").limit(limit + 1).toPandas()
-    if len(rows) > limit:
+    edges = _ends(edges)
+    if edges.count() > limit:
         raise ValueError(f"more than {limit} edges: use the distributed form")
-    return Adjacency(n, rows["l"].to_numpy(np.int64), rows["r"].to_numpy(np.int64))
+    return Adjacency(n, *_collected(edges))
+
+
+def _by_degree(degree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices by falling degree (ties by id), and the place of each."""
+    order = np.lexsort((np.arange(len(degree)), -degree))
+    place = np.empty(len(degree), np.int32)
+    place[order] = np.arange(len(degree), dtype=np.int32)
+    return order, place
+
+
+def _extend(colors: array, taken: list[int], late: np.ndarray, early: np.ndarray) -> None:
+    """Appends the colors of the next ``len(taken)`` places: the smallest one that neither the mask nor an earlier end has."""
+    order = np.argsort(late, kind="stable")
+    at = np.searchsorted(late[order], np.arange(len(colors), len(colors) + len(taken) + 1)).tolist()
+    early = early[order]
+    for k, mask in enumerate(taken):
+        for u in early[at[k] : at[k + 1]].tolist():
+            mask |= 1 << colors[u]
+        colors.append((~mask & (mask + 1)).bit_length() - 1)
 
 
 def greedy(adjacency: Adjacency) -> np.ndarray:
     """Colors by falling degree, renumbered by falling class size."""
-    colors = np.full(adjacency.n, -1, np.int64)
-    for v in np.lexsort((np.arange(adjacency.n), -adjacency.degree)).tolist():
-        used = np.unique(colors[adjacency.neighbours(v)])
-        used = used[used >= 0]
-        gap = np.flatnonzero(used != np.arange(len(used)))
-        colors[v] = gap[0] if len(gap) else len(used)
-    return by_class_size(colors)
+    _, place = _by_degree(adjacency.degree)
+    late, early = np.repeat(place, adjacency.degree), place[adjacency.others]
+    before = early < late
+    colors = array("i")
+    _extend(colors, [0] * adjacency.n, late[before], early[before])
+    return by_class_size(np.array(colors, np.int64)[place])
 
 
 def by_class_size(colors: np.ndarray) -> np.ndarray:
@@ -66,38 +99,96 @@ def by_class_size(colors: np.ndarray) -> np.ndarray:
 
 
 def _frame(spark: SparkSession, **columns: np.ndarray) -> DataFrame:
-    kinds = ", ".join(f"{k} int" for k in columns)
-    return spark.createDataFrame(pd.DataFrame({k: np.asarray(v, np.int32) for k, v in columns.items()}), kinds)
-
-
-def greedy_rounds(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(fid, color) by rounds of DataFrame operations; lineage is cut in the session's checkpoint folder."""
-    ranked = hold(graph.degrees(edges, vertices))
-    d = ranked.select(F.col("fid").alias("v"), F.col("degree").alias("dv"))
-    both = graph.both_ways(edges).select("fid", "other")
-    ends = both.join(ranked, "fid").join(d, F.col("other") == F.col("v"))
-    earlier = hold(ends.where((F.col("dv") > F.col("degree")) | (F.col("dv") == F.col("degree")) & (F.col("other") < F.col("fid"))).select("fid", "other"))
-    colors = hold(ranked.join(earlier, "fid", "left_anti").select("fid", F.lit(0).alias("color")))
-    waiting = hold(ranked.select("fid").join(colors, "fid", "left_anti"))
-    while not waiting.isEmpty():
-        known = colors.select(F.col("fid").alias("other"), "color")
-        state = waiting.join(earlier, "fid").join(known, "other", "left").groupBy("fid").agg(F.count_if(F.col("color").isNull()).alias("open"), F.collect_set("color").alias("used"))
-        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("used")), F.col("used")))
-        done = state.where("open = 0").select("fid", free.alias("color"))
-        colors = hold(colors.unionAll(done))
-        waiting = hold(waiting.join(colors, "fid", "left_anti"))
-    sizes = colors.groupBy("color").agg(F.count("*").alias("n"))
-    ranks = sizes.select("color", (F.row_number().over(Window.orderBy(F.col("n").desc(), "color")) - 1).alias("new"))  # one row per color
-    return colors.join(F.broadcast(ranks), "color").select("fid", F.col("new").cast("int").alias("color"))
+    return spark.createDataFrame(pa.table({k: pa.array(np.asarray(v, np.int32)) for k, v in columns.items()}))
+
+
+def _degrees(edges: DataFrame, n: int) -> np.ndarray:
+    """The degree of every vertex, on the driver."""
+    return _tallied(edges.select(F.explode(F.array("l", "r")).alias("fid")), n)
+
+
+def _tallied(rows: DataFrame, n: int) -> np.ndarray:
+    """How often each of the vertices 0 to n - 1 is in column fid."""
+    out = np.zeros(n, np.int64)
+    fid, count = _collected(rows.groupBy("fid").agg(F.count("*").alias("n")))
+    out[fid] = count
+    return out
+
+
+def colors_along(edges: DataFrame, place: np.ndarray, degree: np.ndarray, block_edges: int) -> np.ndarray:
+    """The greedy colors of the places 0, 1, ..., in that order; ``place`` is each vertex's, ``degree`` each place's.
+
+    Places are cut into blocks of at most ``2 * block_edges`` ends (or one place), so that no block holds over
+    ``block_edges`` edges in itself. Tasks reduce the edges between a block and earlier ones to masks of the colors that
+    are taken; the driver gets these and the block's own edges and colors it.
+    """
+    spark = edges.sparkSession
+    block = (np.cumsum(degree, dtype=np.int64) - 1) // (2 * block_edges)
+    bounds = np.flatnonzero(np.diff(block, prepend=-2))
+    known = spark.sparkContext.broadcast((place, bounds))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, bounds = known.value
+        for batch in batches:
+            a, b = (place[batch.column(c).to_numpy()] for c in ("l", "r"))
+            late = np.maximum(a, b)
+            of = (np.searchsorted(bounds, late, "right") - 1).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"late": pa.array(late), "early": pa.array(np.minimum(a, b)), "piece": pa.array(late % np.int32(PIECES)), "block": pa.array(of)})
+
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = edges.select("l", "r").mapInArrow(deal, "late int, early int, piece int, block int")
+    dealt = written(dealt.repartition(parts, "block", "piece").sortWithinPartitions("block", "late").drop("piece"), "block")
+    colors = array("i")
+    for b, (first, end) in enumerate(zip(bounds.tolist(), [*bounds[1:].tolist(), len(degree)], strict=True)):
+        late, at, bits = _collected(_taken(dealt.where(F.col("block") == b), np.array(colors, np.int32)))
+        taken = [0] * (end - first)
+        for v, w, x in zip((late[at >= 0] - first).tolist(), at[at >= 0].tolist(), bits[at >= 0].tolist(), strict=True):
+            taken[v] |= x << (WORD * w)
+        _extend(colors, taken, late[at < 0], bits[at < 0])
+    known.destroy()
+    return np.array(colors, np.int64)
+
+
+def _taken(edges: DataFrame, colors: np.ndarray) -> DataFrame:
+    """(late, at, bits): masks of the colors of earlier ends that have one (word ``at``), and other earlier ends as they are (``at`` -1)."""
+    shared = edges.sparkSession.sparkContext.broadcast(colors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        colors = shared.value
+        for batch in batches:
+            late, early = (batch.column(c).to_numpy() for c in ("late", "early"))
+            done = early < len(colors)
+            word, bit = np.divmod(colors[early[done]].astype(np.int64), WORD)
+            key = late[done].astype(np.int64) << 26 | word
+            order = np.argsort(key, kind="stable")
+            key, bit = key[order], np.int64(1) << bit[order]
+            begin = np.flatnonzero(np.diff(key, prepend=-1))
+            masks = np.bitwise_or.reduceat(bit, begin) if len(begin) else bit
+            rest = ~done
+            yield pa.RecordBatch.from_pydict({
+                "late": pa.array(np.concatenate([(key[begin] >> 26).astype(np.int32), late[rest]])),
+                "at": pa.array(np.concatenate([(key[begin] & (1 << 26) - 1).astype(np.int32), np.full(int(rest.sum()), -1, np.int32)])),
+                "bits": pa.array(np.concatenate([masks, early[rest].astype(np.int64)]))})
+
+    return edges.select("late", "early").mapInArrow(run, "late int, at int, bits long")
+
+
+def greedy_rounds(edges: DataFrame, vertices: DataFrame, block_edges: int = DRIVER_EDGES) -> DataFrame:
+    """(fid, color) by blocks of vertices, a job each, over edges that stay distributed."""
+    n = vertices.count()
+    degree = _degrees(edges, n)
+    order, place = _by_degree(degree)
+    colors = by_class_size(colors_along(edges, place, degree[order], block_edges)[place])
+    return written(_frame(edges.sparkSession, fid=np.arange(n), color=colors))
 
 
 def color(edges: DataFrame, vertices: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """(fid, color) of all vertices (ids 0 to n - 1)."""
-    edges = hold(edges.select("l", "r", F.lit(1).alias("freq")))
-    if edges.limit(driver_edges + 1).count() > driver_edges:
-        return greedy_rounds(edges, vertices)
+    edges = _ends(edges)
+    if edges.count() > driver_edges:
+        return greedy_rounds(edges, vertices, driver_edges)
     n = vertices.count()
-    colors = greedy(collect_graph(edges, n, driver_edges))
+    colors = greedy(Adjacency(n, *_collected(edges)))
     return _frame(edges.sparkSession, fid=np.arange(n), color=colors)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,14 @@ def hold(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and read from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """Like ``hold``, as a compressed columnar table: for wide or many rows that are read more than once.
+
+    ``by`` names columns by whose values it is laid out; they come last.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

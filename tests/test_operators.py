@@ -252,6 +252,26 @@ def test_distributed_coloring_equals_sequential(spark, seed):
         coloring.collect_graph(edges, n, 1)
 
 
+def test_blocks_of_vertices_take_a_job_each(spark):
+    path = [(i, i + 1) for i in range(199)]  # a chain of waiting vertices, in order of their ids
+    edges = spark.createDataFrame(path, "l int, r int")
+    vertices = spark.range(200).select(F.col("id").cast("int").alias("fid"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("blocks", "blocks")
+    got = dict(pairs(coloring.color(edges, vertices, driver_edges=100), "fid", "color"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == dict(pairs(coloring.color(edges, vertices), "fid", "color"))
+    assert len(tracker.getJobIdsForGroup("blocks")) < 60
+
+
+@pytest.mark.parametrize("block_edges", [3, 40])
+def test_blocks_give_the_sequential_colors_of_dense_graphs(spark, block_edges):
+    edges = spark.createDataFrame([(a, b) for a in range(120) for b in range(a + 1, 120) if (a + 3 * b) % 53], "l int, r int")  # over 63 colors
+    vertices = spark.range(121).select(F.col("id").cast("int").alias("fid"))
+    want = coloring.greedy(coloring.collect_graph(edges, 121))
+    assert want.max() > 63 and dict(pairs(coloring.greedy_rounds(edges, vertices, block_edges * 20), "fid", "color")) == dict(enumerate(want.tolist()))
+
+
 @pytest.mark.parametrize("kind", ["te", "ft", "faft", "id", "sm", "sn", "ss", "ns"])
 def test_every_encoder_end_to_end(spark, kind):
     rnd = random.Random(1)
