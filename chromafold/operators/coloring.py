@@ -8,9 +8,8 @@ vertex and at most about ``driver_edges`` edges at a time, and gives the same co
 
 from __future__ import annotations
 
-import heapq
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -199,25 +198,35 @@ def table_colors(vocab: DataFrame) -> DataFrame:
     return vocab.select("col", "fid").join(F.broadcast(ranks), "col")
 
 
+def _peeled(adjacency: Adjacency, degree: np.ndarray, least: int = 0) -> np.ndarray:
+    """Each vertex's degree when it is removed as one of largest remaining degree (ties by id); -1: below ``least`` by then.
+
+    ``degree`` may count neighbours that ``adjacency`` lacks. Degrees only fall, so those removed at degree d are, by
+    id, the ones of that degree that none before them has lowered.
+    """
+    now, at = degree.astype(np.int64), np.full(adjacency.n, -1, np.int64)
+    while (top := int(now.max(initial=-1))) >= max(least, 1):
+        for v in np.flatnonzero(now == top).tolist():
+            if now[v] == top:
+                at[v] = top
+                now[adjacency.neighbours(v)] -= 1
+                now[v] = -1  # and lower, as its neighbours go
+    if least <= 0:
+        at[now == 0] = 0
+    return at
+
+
+def _in_order(at: np.ndarray) -> np.ndarray:
+    """The removed vertices in the order of removal: by falling degree then, ties by id."""
+    gone = np.flatnonzero(at >= 0)
+    return gone[np.argsort(-at[gone], kind="stable")]
+
+
 def largest_first(adjacency: Adjacency) -> tuple[np.ndarray, np.ndarray]:
     """Vertices by repeated removal of one of largest remaining degree (ties by id), and those degrees."""
-    degree = adjacency.degree.copy()
-    queue = [(-d, v) for v, d in enumerate(degree.tolist())]
-    heapq.heapify(queue)
-    gone = np.zeros(adjacency.n, bool)
-    order, at = [], []
-    while queue:
-        d, v = heapq.heappop(queue)
-        if gone[v] or -d != degree[v]:
-            continue
-        gone[v] = True
-        order.append(v)
-        at.append(-d)
-        for u in adjacency.neighbours(v).tolist():
-            if not gone[u]:
-                degree[u] -= 1
-                heapq.heappush(queue, (-int(degree[u]), u))
-    return np.array(order, np.int64), np.array(at, np.int64)
+    at = _peeled(adjacency, adjacency.degree)
+    order = _in_order(at)
+    return order, at[order]
 
 
 def discrete_cutoff(removed_degrees: np.ndarray) -> int:
@@ -226,9 +235,76 @@ def discrete_cutoff(removed_degrees: np.ndarray) -> int:
     return int(below[0]) if len(below) else len(removed_degrees)
 
 
-def removal_order(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+def _chosen(edges: DataFrame, pick: np.ndarray, both: bool) -> DataFrame:
+    """The edges whose ends are both picked, or (fid) the end with a 1 of those whose other end has a 2."""
+    shared = edges.sparkSession.sparkContext.broadcast(pick)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pick = shared.value
+        for batch in batches:
+            l, r = (batch.column(c).to_numpy() for c in ("l", "r"))
+            a, b = pick[l], pick[r]
+            if both:
+                keep = (a > 0) & (b > 0)
+                yield pa.RecordBatch.from_pydict({"l": pa.array(l[keep]), "r": pa.array(r[keep])})
+            else:
+                yield pa.RecordBatch.from_pydict({"fid": pa.array(np.concatenate([l[(a == 1) & (b == 2)], r[(a == 2) & (b == 1)]]))})
+
+    return edges.select("l", "r").mapInArrow(run, "l int, r int" if both else "fid int")
+
+
+def removals(edges: DataFrame, n: int, driver_edges: int = DRIVER_EDGES, enough: Callable[[np.ndarray], bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vertices in largest-first order, their degrees then, and the degrees of all in the whole graph.
+
+    While over ``driver_edges`` edges are left, the vertices of the largest degrees, down to a bound that leaves few
+    enough edges among them, are taken together: all that are removed until the largest degree falls below it are among
+    them, so the edges among them decide their order. One pass then counts what the others lose. A single
+    degree whose vertices have too many edges among themselves is decided in blocks. ``enough`` ends it after a prefix.
+    """
+    edges = _ends(edges)
+    degree = _degrees(edges, n)
+    now, at = degree.copy(), np.full(n, -1, np.int64)
+    rows = left = int(degree.sum()) // 2
+    done = False
+    while left > driver_edges and not done:
+        top = int(now.max())
+        ends = np.cumsum((np.bincount(now[now > 0]) * np.arange(top + 1))[::-1])[::-1]  # of vertices of this degree or more
+        few = np.flatnonzero(ends.astype(float) ** 2 <= 2.0 * left * driver_edges)  # half the bound, were edges drawn at random
+        least = max(1, int(few[0])) if len(few) else top
+        inner = written(_chosen(edges, (now >= least).astype(np.int8), True))
+        while (held := inner.count()) > driver_edges and least < top:
+            least = (least + top + 1) // 2
+            inner = written(_chosen(inner, (now >= least).astype(np.int8), True))
+        some = np.flatnonzero(now >= least)
+        place = np.full(n, -1, np.int32)
+        place[some] = np.arange(len(some), dtype=np.int32)
+        if held > driver_edges:  # one degree: the first color by id is what is removed
+            found = np.where(colors_along(inner, place, _degrees(inner, n)[some], driver_edges) == 0, top, -1)
+        else:
+            l, r = _collected(inner)
+            found = _peeled(Adjacency(len(some), place[l], place[r]), now[some], least)
+        at[some] = found
+        pick = (now >= 0).astype(np.int8)
+        pick[some[found >= 0]] = 2
+        now -= _tallied(_chosen(edges, pick, False), n)
+        now[at >= 0] = -1
+        left = int(now[now > 0].sum()) // 2
+        done = bool(enough and enough(at[_in_order(at)]))
+        if 2 * left < rows and not done:
+            edges, rows = written(_chosen(edges, (now > 0).astype(np.int8), True)), left
+    if not done:
+        some = np.flatnonzero(at < 0)
+        place = np.full(n, -1, np.int32)
+        place[some] = np.arange(len(some), dtype=np.int32)
+        l, r = _collected(_chosen(edges, (at < 0).astype(np.int8), True))
+        at[some] = _peeled(Adjacency(len(some), place[l], place[r]), now[some])
+    order = _in_order(at)
+    return order, at[order], degree
+
+
+def removal_order(edges: DataFrame, vertices: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """(position, fid, degree) of the largest-first order."""
-    order, at = largest_first(collect_graph(edges, vertices.count()))
+    order, at, _ = removals(edges, vertices.count(), driver_edges)
     return _frame(edges.sparkSession, position=np.arange(len(order)), fid=order, degree=at)
 
 

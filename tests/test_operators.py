@@ -272,6 +272,29 @@ def test_blocks_give_the_sequential_colors_of_dense_graphs(spark, block_edges):
     assert want.max() > 63 and dict(pairs(coloring.greedy_rounds(edges, vertices, block_edges * 20), "fid", "color")) == dict(enumerate(want.tolist()))
 
 
+def random_graph(spark, seed, n=60, hub=True):
+    rnd = random.Random(seed)
+    found = {tuple(sorted(rnd.sample(range(n), 2))) for _ in range(300)} | ({(0, v) for v in range(1, n)} if hub else set())
+    edges = spark.createDataFrame([(a, b, 1 + (a * b) % 3) for a, b in sorted(found)], "l int, r int, freq int")
+    return edges, spark.range(n + 2).select(F.col("id").cast("int").alias("fid"))
+
+
+@pytest.mark.parametrize("driver_edges", [1, 20, 150])
+def test_removal_order_of_graphs_beyond_the_driver(spark, driver_edges):
+    edges, vertices = random_graph(spark, driver_edges)
+    order, at = coloring.largest_first(coloring.collect_graph(edges, 62))
+    got = coloring.removal_order(edges, vertices, driver_edges).orderBy("position").collect()
+    assert [(r.position, r.fid, r.degree) for r in got] == list(zip(range(62), order.tolist(), at.tolist()))
+
+
+def test_removal_order_of_one_crowded_degree(spark):
+    edges = spark.createDataFrame([(i, (i + d) % 30) if i + d < 30 else ((i + d) % 30, i) for i in range(30) for d in (1, 2, 7)], "l int, r int")
+    vertices = spark.range(30).select(F.col("id").cast("int").alias("fid"))
+    order, at = coloring.largest_first(coloring.collect_graph(edges, 30))
+    got = coloring.removal_order(edges, vertices, 10).orderBy("position").collect()
+    assert [(r.fid, r.degree) for r in got] == list(zip(order.tolist(), at.tolist()))
+
+
 @pytest.mark.parametrize("kind", ["te", "ft", "faft", "id", "sm", "sn", "ss", "ns"])
 def test_every_encoder_end_to_end(spark, kind):
     rnd = random.Random(1)
