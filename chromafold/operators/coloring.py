@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromafold.operators import graph
-from chromafold.sources.lineage import hold, written
+from chromafold.sources.lineage import written
 
 DRIVER_EDGES = 4_000_000
 PIECES = 8  # tasks that read one block of edges
@@ -308,26 +308,25 @@ def removal_order(edges: DataFrame, vertices: DataFrame, driver_edges: int = DRI
     return _frame(edges.sparkSession, position=np.arange(len(order)), fid=order, degree=at)
 
 
-def filtered_diagnostics(train: DataFrame, valid: DataFrame, vertices: DataFrame, n_train: int, n_valid: int, max_k: int) -> DataFrame:
+def filtered_diagnostics(train: DataFrame, valid: DataFrame, vertices: DataFrame, n_train: int, n_valid: int, max_k: int, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """Per k: the graph of edges seen k times or more, its hub vertices masked, and what that leaves.
 
     (k, cutoff, good_turing, new_edges, max_degree, avg_degree); frequencies are those of the whole graph, new
-    edges and degrees those of the thresholded one without masked vertices.
+    edges and degrees those of the thresholded one without masked vertices. The order is followed to its cutoff only.
     """
     spark, n = train.sparkSession, vertices.count()
-    train, valid = hold(train), hold(valid)
+    train, valid = written(train), written(valid)
     out = []
     for k in range(1, max_k + 1):
         kept = graph.threshold(train, k)
-        adjacency = collect_graph(kept, n)
-        order, at = largest_first(adjacency)
+        order, at, degree = removals(kept, n, driver_edges, lambda at: discrete_cutoff(at) < len(at))
         cutoff = discrete_cutoff(at)
-        masked = _frame(spark, fid=order[:cutoff])
+        masked = F.broadcast(_frame(spark, fid=order[:cutoff]))  # about twice the root of the edges at most
         free = np.ones(n, bool)
         free[order[:cutoff]] = False
         mass = graph.without(train.where(F.col("freq") <= k), masked).agg(F.sum("freq")).first()[0] or 0
         unseen = graph.without(valid.join(kept.select("l", "r"), ["l", "r"], "left_anti"), masked).agg(F.sum("freq")).first()[0] or 0
-        d = adjacency.degree[free]
+        d = degree[free]
         out.append((k, cutoff, mass / n_train, unseen / n_valid, int(d.max()) if len(d) else 0, float(d.mean()) if len(d) else 0.0))
     return spark.createDataFrame(out, "k int, cutoff int, good_turing double, new_edges double, max_degree int, avg_degree double")
 

@@ -295,6 +295,16 @@ def test_removal_order_of_one_crowded_degree(spark):
     assert [(r.fid, r.degree) for r in got] == list(zip(order.tolist(), at.tolist()))
 
 
+def test_diagnostics_of_graphs_beyond_the_driver(spark):
+    train, vertices = random_graph(spark, 5)
+    valid, _ = random_graph(spark, 6, hub=False)
+    got = coloring.filtered_diagnostics(train, valid, vertices, 10, 5, 3, driver_edges=20).collect()
+    assert got == coloring.filtered_diagnostics(train, valid, vertices, 10, 5, 3).collect()
+    for r in got:
+        order, at = coloring.largest_first(coloring.collect_graph(train.where(F.col("freq") >= r.k), 62))
+        assert r.cutoff == coloring.discrete_cutoff(at)
+
+
 @pytest.mark.parametrize("kind", ["te", "ft", "faft", "id", "sm", "sn", "ss", "ns"])
 def test_every_encoder_end_to_end(spark, kind):
     rnd = random.Random(1)
