@@ -29,11 +29,14 @@ class Adjacency:
     """Neighbour lists of a graph held in memory: those of vertex v are others[start[v]:start[v + 1]]."""
 
     def __init__(self, n: int, left: np.ndarray, right: np.ndarray):
-        keys = np.concatenate([left, right]).astype(np.int64) * max(1, n)
-        keys += np.concatenate([right, left])
+        keys = np.concatenate([left, right], dtype=np.int64)  # one array of 64-bit numbers, changed in place
+        keys *= max(1, n)
+        keys[: len(left)] += right
+        keys[len(left) :] += left
         keys.sort()
         self.start = np.searchsorted(keys, np.arange(n + 1) * max(1, n))
-        self.others = (keys % max(1, n)).astype(np.int32)
+        keys %= max(1, n)
+        self.others = keys.astype(np.int32)
         self.degree = np.diff(self.start)
         self.n = n
 
