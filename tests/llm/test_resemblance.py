@@ -94,10 +94,10 @@ def test_fingerprints_are_majority_bits():
 
 
 def posted(print_, size):
-    """(list, carried word) of one fingerprint, by its definition."""
+    """(list, (carried word, second word)) of one fingerprint, by its definition."""
     word = [x.to_bytes(8, "little") for x in print_]
     shifts = resemblance.TINY_SHIFTS if size <= resemblance.TINY else resemblance.SHIFTS
-    return [((t, k, word[(k + t + 1) % len(word)][t]), word[k]) for t in range(shifts) for k in range(len(word))]
+    return [((t, k, word[(k + t + 1) % len(word)][t]), (word[k], word[k - len(word) // 2])) for t in range(shifts) for k in range(len(word))]
 
 
 def near(x, y):
@@ -105,8 +105,12 @@ def near(x, y):
     return shared >= resemblance.SHARED and sum((a ^ b).bit_count() for a, b in zip(x, y, strict=True)) <= resemblance.BITS
 
 
-@pytest.mark.parametrize("limit", [None, 5])
-def test_candidates_are_the_near_pairs_of_the_posting_lists(spark, limit):
+def within(x, y, bits):
+    return sum((a ^ b).bit_count() for a, b in zip(x, y, strict=True)) <= bits
+
+
+@pytest.mark.parametrize("limit,many,second", [(None, 1 << 20, 64), (5, 1 << 20, 64), (None, 0, resemblance.MORE_BITS), (5, 0, resemblance.MORE_BITS)])
+def test_candidates_are_the_near_pairs_of_the_posting_lists(spark, limit, many, second):
     rng = np.random.default_rng(6)
     prints, sizes = [], []
     for group in range(14):
@@ -123,12 +127,12 @@ def test_candidates_are_the_near_pairs_of_the_posting_lists(spark, limit):
     for entries in lists.values():
         for i, x in entries:
             for j, y in entries:
-                if i < j and want[i] != want[j] and near(x, y):
+                if i < j and want[i] != want[j] and near(x[0], y[0]) and within(x[1], y[1], second):
                     want = [min(want[i], want[j]) if k in (want[i], want[j]) else k for k in want]
     names = [int(x) for x in np.sort(rng.integers(-(2**63), 2**63, len(prints)))]
     signed = [[x - 2**64 if x >= 2**63 else x for x in p] for p in prints]
     table = spark.createDataFrame(list(zip(names, sizes, signed, strict=True)) + [(0, 0, [])], "fp long, n long, print array<long>")
-    found = {r.vertex: r.root for r in components(resemblance.candidates(table.repartition(3), limit)).collect()}
+    found = {r.vertex: r.root for r in components(resemblance.candidates(table.repartition(3), limit, many)).collect()}
     assert len(set(want)) < len(prints)
     assert [found.get(x, x) for x in names] == [names[k] for k in want]
 
@@ -142,12 +146,13 @@ def test_links_within_lists_match_brute_force(monkeypatch, short, long):
     flips = np.packbits(rng.random((400, 64)) < 0.09, axis=1, bitorder="little").view(np.uint64)[:, 0]
     words = bases[rng.integers(0, 40, 400)] ^ flips
     key = np.sort(rng.integers(0, 6, 400))
+    more = np.where(rng.random(400) < 0.5, bases[0], bases[1])
     want = np.arange(400)
     for i in range(400):
         for j in range(i):
-            if key[i] == key[j] and want[i] != want[j] and near(int(words[i]).to_bytes(8, "little"), int(words[j]).to_bytes(8, "little")):
+            if key[i] == key[j] and more[i] == more[j] and want[i] != want[j] and near(int(words[i]).to_bytes(8, "little"), int(words[j]).to_bytes(8, "little")):
                 want[np.isin(want, [want[i], want[j]])] = min(want[i], want[j])
-    a, b = resemblance.stars(*(x.astype(np.uint64) for x in resemblance.linked(key, words)))
+    a, b = resemblance.stars(*(x.astype(np.uint64) for x in resemblance.linked(key, words, more)))
     got = dict(zip(a.tolist(), b.tolist(), strict=True))
     assert [got.get(i, i) for i in range(400)] == want.tolist()
 
